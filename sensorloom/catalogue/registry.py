@@ -51,6 +51,9 @@ RELATIONS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+SELF = "RECURSIVE_ "
+
+
 def relation(name: str, sql: str, *needs: str) -> None:
     """Add a shared relation that comparison SQL can build on."""
     RELATIONS[name] = (needs, sql)
@@ -67,7 +70,14 @@ def _collect(names, seen: list[str]) -> list[str]:
 
 def with_relations(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix ``sql`` with the shared relations it needs."""
-    parts = [f"{n} AS MATERIALIZED ({RELATIONS[n][1]})" for n in _collect(names, [])]
+    parts = []
+    for n in _collect(names, []):
+        text = RELATIONS[n][1]
+        if text.startswith(SELF):  # a relation that refers to itself
+            recursive = True
+            parts.append(f"{n} AS ({text[len(SELF):]})")
+        else:
+            parts.append(f"{n} AS MATERIALIZED ({text})")
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         head, body = ",\n", body[5:]
@@ -75,7 +85,7 @@ def with_relations(sql: str, *names: str, recursive: bool = False) -> str:
         head = "\n"
     if not parts:
         return sql
-    keyword = "WITH RECURSIVE " if recursive or " RECURSIVE" in sql or any("RECURSIVE_" in p for p in parts) else "WITH "
+    keyword = "WITH RECURSIVE " if recursive else "WITH "
     return keyword + ",\n".join(parts) + head + body
 
 

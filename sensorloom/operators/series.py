@@ -26,16 +26,9 @@ HOT_ROWS = 2_000_000
 BLOCK_ROWS = 200_000
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most ``total_rows / hot_rows`` of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (hot_rows or HOT_ROWS)).select(*keys)
 
 
 def with_position(
@@ -44,7 +37,7 @@ def with_position(
     order: Sequence[str | Column],
     chunk: Column,
     name: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """1-based row number per ``keys`` in ``order``.
 
@@ -72,12 +65,13 @@ def with_position(
     )
 
 
-def in_blocks(df: DataFrame, pos: str = "pos", halo: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(df: DataFrame, pos: str = "pos", halo: int = 0, ahead: int = 0, rows: int | None = None) -> DataFrame:
     """Add ``_block`` and ``_halo``: halo rows are copies owned by a neighbouring block.
 
     ``halo`` rows before a block and ``ahead`` rows after it are repeated into it.
     Only rows next to a block border are duplicated.
     """
+    rows = rows or BLOCK_ROWS
     own = F.floor((F.col(pos) - 1) / F.lit(rows))
     offset = (F.col(pos) - 1) % F.lit(rows)
     targets = [F.when(F.lit(True), own)]
@@ -160,9 +154,8 @@ def exact_quantiles(
     edges = rows.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx("_v", grid, accuracy)).alias("_edges"), F.count(F.lit(1)).alias("_n")
     )
-    located = counted.join(edges, null_safe(counted, edges, keys) if not keys else keys, "inner") if keys else counted.crossJoin(
-        F.broadcast(edges)
-    )
+    # without keys there is one row of cut points, so attaching it adds no rows
+    located = counted.join(edges, keys, "inner") if keys else counted.crossJoin(F.broadcast(edges))
     binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
     per_bin = binned.groupBy(*keys, "_bin", "_n").agg(F.sum("_m").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
