@@ -11,8 +11,8 @@ one task:
   lag/rolling windows can be partitioned by (series, block).
 * :func:`running_total` is a two-level prefix sum over blocks.
 * :func:`islands` groups consecutive equal rows.
-* :func:`exact_quantiles` refines approximate cut points into exact quantiles
-  without sorting a group in one task.
+* :func:`cumulative_by_value` and :func:`exact_quantiles` refine approximate cut
+  points into exact running totals and quantiles without sorting a group in one task.
 """
 
 from __future__ import annotations
@@ -132,59 +132,66 @@ def islands(df: DataFrame, keys: Sequence[str], same: Sequence[str], pos: str =
     return running_total(flagged, keys, F.col("_start").cast("long"), name, pos).drop("_start")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    accuracy: int = 2_000,
-    cuts: int = 64,
+def cumulative_by_value(
+    rows: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column], cuts: int = 64
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, as columns ``q0, q1, ...``.
+    """Distinct values per group with running totals, computed without sorting a group in one task.
+
+    Returns keys, ``_v`` (the value), ``_next`` (the next greater value, null for the last)
+    and for every measure ``m``: ``m`` (sum at this value), ``cum_m`` (up to and including
+    it) and ``total_m``.
 
-    1. a mergeable sketch gives up to ``cuts`` cut points per group;
-    2. exact counts per (group, bin) locate the bins holding the wanted ranks;
-    3. only rows of those bins are ranked, each bin in its own task, after equal
-       values were collapsed to (value, multiplicity).
+    Equal values collapse map-side; a mergeable sketch gives up to ``cuts`` cut points per
+    group; every (group, bin) is ordered in its own task and the bins are chained through
+    a table with at most ``cuts`` rows per group.
     """
     keys = list(keys)
-    grid = [i / cuts for i in range(1, cuts)]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
-    edges = rows.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", grid, accuracy)).alias("_edges"), F.count(F.lit(1)).alias("_n")
+    present = rows.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), *[m.alias(f"_m_{n}") for n, m in measures.items()]
     )
+    grid = [i / cuts for i in range(1, cuts)]
+    edges = present.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 2_000)).alias("_edges"))
+    counted = present.groupBy(*keys, "_v").agg(*[F.sum(f"_m_{n}").alias(n) for n in measures])
     # without keys there is one row of cut points, so attaching it adds no rows
-    located = counted.join(edges, keys, "inner") if keys else counted.crossJoin(F.broadcast(edges))
+    located = counted.join(edges, keys) if keys else counted.crossJoin(F.broadcast(edges))
     binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
-    per_bin = binned.groupBy(*keys, "_bin", "_n").agg(F.sum("_m").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    spans = per_bin.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    wanted = [
-        (F.lit(float(p)) * (F.col("_n") - 1)).alias(f"_r{i}") for i, p in enumerate(probs)
-    ]
-    hits = F.lit(False)
-    for p in probs:
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        first, last = F.col("_before"), F.col("_before") + F.col("_rows") - 1
-        hits = hits | F.floor(rank).between(first, last) | F.ceil(rank).between(first, last)
-    needed = spans.filter(hits).select(*keys, "_bin", "_before")
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        binned.join(needed, [*keys, "_bin"], "inner")
-        .withColumn("_last", F.col("_before") + F.sum("_m").over(inside) - 1)
-        .withColumn("_first", F.col("_last") - F.col("_m") + 1)
-        .select("*", *wanted)
+    along = Window.partitionBy(*keys).orderBy("_bin")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*keys)
+    bins = binned.groupBy(*keys, "_bin").agg(
+        F.min("_v").alias("_low"), *[F.sum(n).alias(f"_bin_{n}") for n in measures]
     )
+    chained = bins.select(
+        *keys,
+        "_bin",
+        F.lead("_low").over(along).alias("_next_low"),
+        *[F.coalesce(F.sum(f"_bin_{n}").over(earlier), F.lit(0)).alias(f"_base_{n}") for n in measures],
+        *[F.sum(f"_bin_{n}").over(everything).alias(f"total_{n}") for n in measures],
+    )
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return binned.join(chained, [*keys, "_bin"]).select(
+        *keys,
+        "_v",
+        F.coalesce(F.lead("_v").over(inside), F.col("_next_low")).alias("_next"),
+        *measures,
+        *[(F.col(f"_base_{n}") + F.sum(n).over(upto)).alias(f"cum_{n}") for n in measures],
+        *[f"total_{n}" for n in measures],
+    )
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, as columns ``q0, q1, ...``."""
+    ranked = cumulative_by_value(rows, keys, value, {"n": F.lit(1).cast("long")})
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     aggregates = []
-    for i, _ in enumerate(probs):
-        rank = F.col(f"_r{i}")
-        low = F.max(F.when(F.floor(rank).between(F.col("_first"), F.col("_last")), F.col("_v")))
-        high = F.max(F.when(F.ceil(rank).between(F.col("_first"), F.col("_last")), F.col("_v")))
-        fraction = F.max(rank - F.floor(rank))
-        aggregates.append((low + (high - low) * fraction).alias(f"q{i}"))
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("total_n") - 1)
+        low = F.max(F.when(F.floor(rank).between(first, last), F.col("_v").cast("double")))
+        high = F.max(F.when(F.ceil(rank).between(first, last), F.col("_v").cast("double")))
+        aggregates.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(f"q{i}"))
     return ranked.groupBy(*keys).agg(*aggregates)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5]).withColumnRenamed("q0", name)
+def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    return exact_quantiles(rows, keys, value, [0.5]).withColumnRenamed("q0", name)
