@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.catalogue.registry import query, relation
 from sensorloom.functions.hysteresis import Policy
-from sensorloom.operators import alerts, features, series
+from sensorloom.lineage import cut_lineage
+from sensorloom.operators import alerts, features
 from sensorloom.sources import warehouse as wh
 
 POLICY = Policy(0.45, 3, 0.45, 2)
@@ -136,7 +137,7 @@ def w18s(spark, sf):
 
 @query("W19_episodes", "SELECT * FROM episodes", ("episodes",))
 def w19(spark, sf):
-    out = folded(spark, sf)
+    out = cut_lineage(folded(spark, sf))
     events = healthy_events(alerts.events_of(out), spark, sf)
     return alerts.episodes(events, alerts.segments_of(out, ["run_id"]), ["run_id"]).drop("policy_id")
 
@@ -179,7 +180,7 @@ def rounded_false(out):
 
 
 def false_alerts(spark, sf, gap):
-    out = folded(spark, sf, gap=gap)
+    out = cut_lineage(folded(spark, sf, gap=gap))
     segments = alerts.segments_of(out, ["run_id"])
     found = alerts.episodes(healthy_events(alerts.events_of(out), spark, sf), segments, ["run_id"])
     return rounded_false(alerts.false_alert_summary(found, segments, gap_aware=gap))
@@ -228,7 +229,7 @@ def a32(spark, sf):
     ("detection",),
 )
 def a33(spark, sf):
-    detected = alerts.run_detection(alerts.events_of(folded(spark, sf)), fault_runs(spark, sf))
+    detected = cut_lineage(alerts.run_detection(alerts.events_of(folded(spark, sf)), fault_runs(spark, sf)))
     out = alerts.detection_summary(detected).drop("policy_id")
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.startswith("within")})
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions import hysteresis as hy
+from sensorloom.lineage import cut_lineage
 from sensorloom.operators import series
 
 FOLD_BLOCK_ROWS = 1_000_000
@@ -415,6 +416,7 @@ def search_policies(
     median latency and total persistence; grid order breaks ties.
     """
     keys = ["run_id"]
+    folded = cut_lineage(folded)  # only events and totals, read by several aggregations
     events, segments = events_of(folded), segments_of(folded, keys)
     fault_runs = runs.filter(F.col("fault_start").isNotNull())
     seen = folded.select("run_id").distinct()

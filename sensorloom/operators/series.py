@@ -150,8 +150,10 @@ def cumulative_by_value(
         *keys, F.col(value).alias("_v"), *[m.alias(f"_m_{n}") for n, m in measures.items()]
     )
     grid = [i / cuts for i in range(1, cuts)]
-    edges = present.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 2_000)).alias("_edges"))
     counted = present.groupBy(*keys, "_v").agg(*[F.sum(f"_m_{n}").alias(n) for n in measures])
+    # cut points over distinct values: bins hold similar numbers of collapsed rows, and the
+    # shuffle behind ``counted`` is shared by both uses
+    edges = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 2_000)).alias("_edges"))
     # without keys there is one row of cut points, so attaching it adds no rows
     located = counted.join(edges, keys) if keys else counted.crossJoin(F.broadcast(edges))
     binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
