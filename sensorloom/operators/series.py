@@ -123,6 +123,22 @@ def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str,
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], value: Column, name: str, pos: str = "pos") -> DataFrame:
+    """Greatest earlier value (this row excluded) along ``pos`` per series, in two levels."""
+    keys = list(keys)
+    blocked = in_blocks(df.withColumn("_v", value), pos).drop("_halo")
+    tops = blocked.groupBy(*keys, "_block").agg(F.max("_v").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tops.select(*keys, "_block", F.max("_top").over(earlier).alias("_base"))
+    local = block_window(keys, pos).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocked.withColumn("_run", F.max("_v").over(local))
+        .join(bases, [*keys, "_block"], "left")
+        .withColumn(name, F.greatest("_run", "_base"))
+        .drop("_v", "_run", "_base", "_block")
+    )
+
+
 def islands(df: DataFrame, keys: Sequence[str], same: Sequence[str], pos: str = "pos", name: str = "island") -> DataFrame:
     """Number maximal stretches of consecutive rows whose ``same`` columns do not change."""
     changed = lambda w: F.when(
