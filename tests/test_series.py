@@ -74,6 +74,9 @@ def test_fold_is_the_same_in_blocks(spark, tiny_blocks):
 def test_as_of_join_forward_and_backward(spark):
     left = spark.createDataFrame([("a", 5), ("a", 20), ("b", 1)], "k string, d int")
     right = spark.createDataFrame([("a", 3, "x"), ("a", 6, "y"), ("a", 25, "z")], "k string, d int, v string")
+    def stamp(df):
+        return df.withColumn("t", F.make_timestamp(F.lit(2024), F.lit(1), "d", F.lit(0), F.lit(0), F.lit(0)))
+
     back = joins.as_of_join(stamp(left), stamp(right), ["k"], "t", "t", ["v"])
     ahead = joins.as_of_join(stamp(left), stamp(right), ["k"], "t", "t", ["v"], forward=True)
     assert {(r.k, r.d): r.v for r in back.collect()} == {("a", 5): "x", ("a", 20): "y", ("b", 1): None}
