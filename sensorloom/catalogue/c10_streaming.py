@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.catalogue.c04_alerts import POLICY
+from sensorloom.catalogue.c04_alerts import EVENTS, fold_sql
 from sensorloom.catalogue.c06_features import SPEC
 from sensorloom.catalogue.c08_corroboration import SECONDS, telemetry
 from sensorloom.catalogue.registry import query, relation
@@ -121,7 +121,24 @@ def r03(spark, sf):
     return results.groupBy("asset_id", "diagnosed_class").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("R04_alert_stream")
+relation(
+    "stream_diagnosed",
+    """SELECT *, greatest(p_A, p_N, p_R) AS confidence, CASE WHEN p_A >= p_N AND p_A >= p_R THEN 'A' WHEN p_N >= p_R THEN 'N' ELSE 'R' END AS predicted, true AS healthy_part FROM stream_rows""",
+    "stream_rows",
+)
+relation(
+    "fold_stream",
+    "RECURSIVE_ " + fold_sql(0.40, "2", 0.40, "2", valid="s.valid", source="stream_diagnosed").replace("_self_", "fold_stream"),
+    "stream_diagnosed",
+)
+relation("events_stream", EVENTS.format(f="fold_stream"), "fold_stream")
+
+
+@query(
+    "R04_alert_stream",
+    """SELECT CAST(run_id AS VARCHAR) AS asset_id, make_timestamp(CAST(elapsed * 1000000 AS BIGINT)) AS timestamp, event_type, from_state, to_state, fault_class FROM events_stream""",
+    ("events_stream",),
+)
 def r04(spark, sf):
     return spark.read.parquet(f"{scored_stream(spark, sf)}/results").filter(F.col("event_type").isNotNull()).select(
         "asset_id", "timestamp", "event_type", "from_state", "to_state", "fault_class"
@@ -150,9 +167,14 @@ def r06(spark, sf):
     return marked.groupBy("asset_id").agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("R07_transition_stream")
+@query(
+    "R07_transition_stream",
+    """SELECT CAST(run_id AS VARCHAR) AS asset_id, make_timestamp(CAST(elapsed * 1000000 AS BIGINT)) AS observed_at, CASE event_type WHEN 'new_alert' THEN 'confirmed' WHEN 'class_change' THEN 'class_changed' ELSE 'cleared' END AS transition_type,
+       from_state, to_state, fault_class FROM events_stream""",
+    ("events_stream",),
+)
 def r07(spark, sf):
-    return spark.read.parquet(f"{scored_stream(spark, sf)}/transitions").drop("batch_id", "maximum_score")
+    return spark.read.parquet(f"{scored_stream(spark, sf)}/transitions").drop("batch_id", "maximum_score", "event_id")
 
 
 @query(
@@ -179,7 +201,11 @@ def r08(spark, sf):
     return spark.read.parquet(f"{path}/quality").groupBy("detail").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("S08_three_sinks")
+@query(
+    "S08_three_sinks",
+    """SELECT 'results' AS sink, count(*) AS rows FROM samples UNION ALL SELECT 'transitions', count(*) FROM events_stream UNION ALL SELECT 'quality', 0""",
+    ("samples", "events_stream"),
+)
 def s08(spark, sf):
     path = scored_stream(spark, sf)
     parts = []
