@@ -480,25 +480,31 @@ def _fill_empty(counts: Column, index: int, allowed: Column) -> Column:
     return F.when(moves, shifted).otherwise(counts)
 
 
-def apportion(n: Column, shares: Sequence[float]) -> Column:
-    """array<int>: largest-remainder counts, with no empty split where the size permits."""
-    raw = [F.lit(float(p)) * n for p in shares]
+def with_apportionment(sizes: DataFrame, shares: Sequence[float], n: str = "_n", name: str = "_c") -> DataFrame:
+    """Add array<int>: largest-remainder counts, with no empty split where the size permits.
+
+    Each step is its own column, so no step is repeated inside the next one.
+    """
+    size = F.col(n)
+    raw = [F.lit(float(p)) * size for p in shares]
     base = [F.floor(r).cast("int") for r in raw]
-    spare = n.cast("int") - sum(base[1:], base[0])
+    spare = size.cast("int") - sum(base[1:], base[0])
     order = F.array_sort(F.array(*[F.struct((b - r).alias("f"), F.lit(i).alias("i")) for i, (r, b) in enumerate(zip(raw, base, strict=True))]))
     lucky = F.transform(F.slice(order, F.lit(1), F.greatest(spare, F.lit(0))), lambda e: e["i"])
-    counts = F.array(*[b + F.when(F.array_contains(lucky, F.lit(i)), 1).otherwise(0) for i, b in enumerate(base)])
+    out = sizes.withColumn("_lucky", lucky).withColumn(
+        name, F.array(*[b + F.when(F.array_contains("_lucky", F.lit(i)), 1).otherwise(0) for i, b in enumerate(base)])
+    )
     wanted = [i for i, p in enumerate(shares) if p > 0]
     for i in wanted:
-        counts = _fill_empty(counts, i, n >= len(wanted))
-    return counts
+        out = out.withColumn(name, _fill_empty(F.col(name), i, size >= len(wanted)))
+    return out.drop("_lucky")
 
 
 def stratified_split(runs: DataFrame, strata: Sequence[str], shares: Sequence[float], dataset_id: str) -> DataFrame:
     """Assign train/validation/test per stratum in an order given by a hash of the run id."""
     keyed = runs.withColumn("_h", F.md5(F.concat_ws(":", F.lit(dataset_id), *[F.col(s).cast("string") for s in strata], F.col("run_id").cast("string"))))
     numbered = series.with_position(keyed, strata, ["_h", "run_id"], F.substring("_h", 1, 3), name="_pos")
-    sizes = runs.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", apportion(F.col("_n"), shares))
+    sizes = with_apportionment(runs.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), shares)
     joined = numbered.join(sizes, list(strata))
     first, second = F.element_at("_c", 1), F.element_at("_c", 1) + F.element_at("_c", 2)
     label = F.when(F.col("_pos") <= first, "train").when(F.col("_pos") <= second, "validation").otherwise("test")
