@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.lineage import shared_folder
+
 # Declared table schemas (name, type, nullable).
 TELEMETRY = (
     ("dataset_id", "string", False),
@@ -105,6 +106,5 @@ def compare_manifest(actual: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder (local temporary folder only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sensorloom-")
+    """A new folder below the cluster's shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
