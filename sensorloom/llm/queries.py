@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, lengths, minhash, packing
+from sensorloom.llm import bpe, lengths, minhash, packing, quality
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.ratings(table(spark, sf_dir, "labels")))
+    return quality.graded(docs, model)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -31,5 +37,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_bpe, op8_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op4_bpe, op8_token_counts, op10_packing)}
 ORACLES: dict[str, str] = {}
