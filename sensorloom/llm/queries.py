@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, lengths, minhash, packing, quality
+from sensorloom.llm import bpe, lengths, licenses, minhash, packing, quality, rules, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,10 +25,27 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(docs, model)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffled_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = rules.ledger(table(spark, sf_dir, "documents"))
+    base = rules.Policy("base-1", rules.BASE)
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rules.passes(base)).alias("base_failed"), rules.passes(rules.POLICIES["full-1"]).alias("kept"), "failed_bits",
+    )
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_report(lengths.length_histogram(table(spark, sf_dir, "documents"), VOCABULARY))
 
@@ -37,5 +54,73 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality, op4_bpe, op8_token_counts, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op7_licenses, op8_token_counts, op10_packing)
+}
+
+RULES_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), runs AS (
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS run
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) > 8)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM runs) WHERE n > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 8) AS t(k) GROUP BY r
+), measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, len(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower
+  FROM docs LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)
+), judged AS (
+  SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (n_upper > n_lower)::INT + 32 * (word_chars < 2 * n_words)::INT
+    + 64 * (word_chars > 20 * n_words)::INT AS BIGINT) AS failed_bits FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failed_bits % 4 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
+FROM judged
+"""
+
+
+def licenses_sql() -> str:
+    """Every line against every template, and every phrase at every word."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    known = ",\n".join(f"({t.number}, '{t.label}', {quoted(sorted(t.words))}, {t.needed(licenses.PERCENT)})" for t in licenses.templates())
+    phrases = ",\n".join(f"('{label}', {quoted(phrase.split())})" for phrase, label in licenses.PHRASES.items())
+    words = lambda text: f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH templates(template, label, wanted, needed) AS (VALUES {known}),
+phrases(label, phrase) AS (VALUES {phrases}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS words FROM documents),
+blocks AS (SELECT r, {words("line")} AS held FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+matches AS (
+  SELECT r, list(DISTINCT label) AS labels, max(len(list_intersect(wanted, held)) / len(wanted)) AS containment
+  FROM blocks, templates WHERE len(list_intersect(wanted, held)) >= needed GROUP BY r
+),
+spots AS (
+  SELECT r, label, i FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM docs), phrases
+  WHERE words[i] = phrase[1] AND words[i:i + len(phrase) - 1] = phrase
+),
+base AS (
+  SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM spots GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0::DOUBLE) END AS score
+FROM docs LEFT JOIN matches m USING (r) LEFT JOIN base b USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op5_rules": RULES_SQL, "op7_licenses": licenses_sql()}
