@@ -80,12 +80,13 @@ WITH docs AS (
          CAST(len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutter,
          len(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, len(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower
   FROM docs LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)
 ), judged AS (
   SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (n_upper > n_lower)::INT + 32 * (word_chars < 2 * n_words)::INT
-    + 64 * (word_chars > 20 * n_words)::INT AS BIGINT) AS failed_bits FROM measured
+    + 8 * (n_dup_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::INT + 16 * (n_upper > n_lower)::INT + 32 * (word_chars < 2 * n_words)::INT
+    + 64 * (word_chars > 20 * n_words)::INT + 128 * (100 * n_stutter > 20 * n_words)::INT AS BIGINT) AS failed_bits FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        failed_bits % 4 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits

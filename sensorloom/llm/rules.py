@@ -25,17 +25,18 @@ from sensorloom.llm.words import windows, word_hashes
 REPEAT_WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_stutter")
 
 # rule -> condition of failure on the measurements; a rule's bit is its place here, so rules are only ever appended
 RULES: dict[str, Callable[[Mapping[str, Column]], Column]] = {
     "few_words": lambda m: m["n_words"] < 20,
     "repeated_words": lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"],
     "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
-    "duplicate_lines": lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+    "duplicate_lines": lambda m: (m["n_dup_lines"] >= 4) & (100 * m["n_dup_lines"] > 30 * m["n_lines"]),
     "capitals": lambda m: m["n_upper"] > m["n_lower"],
     "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
     "long_words": lambda m: m["word_chars"] > 20 * m["n_words"],
+    "stutter": lambda m: 100 * m["n_stutter"] > 20 * m["n_words"],
 }
 BASE = ("few_words", "repeated_words")
 
@@ -82,6 +83,7 @@ def measured(text: str | None) -> tuple[int, ...]:
         len(lines),
         int(((raw >= 65) & (raw <= 90)).sum()),
         int(((raw >= 97) & (raw <= 122)).sum()),
+        int((words[1:] == words[:-1]).sum()),
     )
 
 
