@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, lengths, licenses, minhash, packing, quality, rules, sharding
+from sensorloom.llm import bpe, embeddings, lengths, licenses, minhash, packing, quality, rules, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,6 +42,10 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)[0]
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op7_licenses, op8_token_counts, op10_packing)
+    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op6_embeddings, op7_licenses, op8_token_counts, op10_packing)
 }
 
 RULES_SQL = r"""
