@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, embeddings, lengths, licenses, minhash, packing, quality, rules, sharding
+from sensorloom.llm import bpe, embeddings, lengths, licenses, minhash, packing, pages, quality, rules, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,13 +54,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_report(lengths.length_histogram(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op6_embeddings, op7_licenses, op8_token_counts, op10_packing)
+    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op6_embeddings, op7_licenses, op8_token_counts, op9_html, op10_packing)
 }
 
 RULES_SQL = r"""
@@ -128,4 +132,18 @@ FROM docs LEFT JOIN matches m USING (r) LEFT JOIN base b USING (r)
 """
 
 
-ORACLES: dict[str, str] = {"op5_rules": RULES_SQL, "op7_licenses": licenses_sql()}
+# The given pages hold their text in one article of headings and paragraphs.
+HTML_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS part FROM pages
+), cleaned AS (
+  SELECT page_id, url, list_transform(part, lambda x: trim(regexp_replace(
+    regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS part FROM parts
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(part, lambda x: x <> ''), chr(10)) AS text FROM cleaned
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+ORACLES: dict[str, str] = {"op9_html": HTML_SQL, "op5_rules": RULES_SQL, "op7_licenses": licenses_sql()}
