@@ -155,8 +155,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable by links), kept."""
+def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles and component_id (least id reachable by links)."""
     rows = stored(signatures(docs, shingle, id_col, text_col), "minhash-signatures")
     grouped = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fingerprint").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("first"),
@@ -198,6 +198,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     named = classes.join(labels, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "component").select("fingerprint", "component_id")
-    out = rows.select("doc_id", "n_shingles", "fingerprint").join(ids, "fingerprint", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "fingerprint").join(ids, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept (it is the component's least id)."""
+    out = labelled(docs, shingle, percent, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each component the least id stays.
+
+    Of rows that repeat an id and a text one stays.
+    """
+    out = stored(labelled(docs, shingle, percent, id_col, text_col), "minhash-labels")
+    same = lambda other: docs[id_col].eqNullSafe(other["doc_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(other["text_hash"])
+    gone = out.filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    twice = out.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
+    away = gone.unionByName(twice).distinct()
+    once = docs.join(away, same(away), "left_anti")
+    again = twice.join(gone, twice["doc_id"].eqNullSafe(gone["doc_id"]) & (twice["text_hash"] == gone["text_hash"]), "left_anti")
+    return once.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col]))
