@@ -6,9 +6,11 @@ handled once. Of each class's minima under ``PERMUTATIONS`` hash functions only
 candidates. The share of equal low bits, corrected for chance equality of two bits, estimates the similarity by bit
 counts; candidates that can reach the threshold within ``MARGIN`` are confirmed on their full sets.
 
-A band's bucket is never expanded into all its pairs: first each member meets the bucket's least and greatest
-member and the better of all its partners is confirmed. Only buckets that then still hold several components go on, and only
-members outside the bucket's main component meet the others; so every pair across components is tested.
+A band's bucket is never expanded into its pairs. First each member meets the bucket's least and greatest member,
+and the most promising of all its partners is confirmed. Buckets that then still hold several components go on in
+blocks of at most ``MEMBERS`` members: a task compares the members of two blocks in place, first by their packed bits
+and then, where some pair across components is promising, by their full sets, and sends only links that join
+components. So every promising pair across components is tested on full sets, and what is sent is linear in the members.
 
 Null, empty and word-less texts have an empty set and are linked with nothing. Repeated rows stay rows of their own;
 a row with a null id is linked with nothing, has a null component and is kept. An empty table gives no rows.
@@ -33,6 +35,7 @@ LANES = 32  # kept minima per 64-bit word
 WORDS = -(-PERMUTATIONS // LANES)
 MARGIN = 0.2  # over four standard deviations of the estimate at similarity 0.8
 BLOCK = 1 << 16  # shingles whose minima are taken at a time
+MEMBERS = 1024  # members of a bucket's block
 
 _RANDOM = np.random.default_rng(7)
 FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,6 +158,113 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _groups(batches):
+    """Tables of the rows of each (key, low, high), from batches sorted by these columns."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        parts = [table.column(c).to_numpy() for c in ("key", "low", "high")]
+        heads = np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in parts])) + 1
+        for start, end in zip(np.r_[0, heads[:-1]], heads) if len(heads) else ():
+            yield table.slice(start, end - start)
+        rest = table.slice(heads[-1] if len(heads) else 0)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _promising_partners(table: pa.Table, percent: int):
+    """For each member outside the bucket's main component: its place and the places of its promising partners.
+
+    A pair is looked at in its first common band only, in one direction, and not if both are of one component.
+    """
+    column = lambda c: table.column(c).to_numpy()
+    component, main, n, block, node = (column(c) for c in ("component", "main", "n", "block", "node"))
+    low, high, key = int(column("low")[0]), int(column("high")[0]), int(column("key")[0])
+    bits = np.asarray(table.column("low_bits").combine_chunks().flatten()).reshape(len(n), WORDS).view(np.uint64)
+    keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(n), BANDS)
+    lanes, chance = np.uint64(0x5555555555555555), 1 / 2**BITS
+    for i in np.flatnonzero(component != main):
+        able = (component != component[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        able &= (component == main) | (node < node[i])
+        if low != high:
+            able &= block != block[i]
+        at = np.flatnonzero(able)
+        if not len(at):
+            continue
+        x = bits[at] ^ bits[i]
+        differing = np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1)
+        at = at[(1 - differing / PERMUTATIONS - chance) / (1 - chance) >= percent / 100 - MARGIN]
+        if len(at):
+            shared = keys[at] == keys[i]
+            at = at[keys[i][shared.argmax(axis=1)] == key]
+        if len(at):
+            yield i, at
+
+
+def bucket_links(placed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components of a bucket, from (key, node, component, main, size)."""
+    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
+    rows = placed.select("key", "node", "component", "main", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    met = rows.select("key", "node", "component", "main", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")).select(
+        "key", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "node", "component", "main"
+    )
+    own = classes.select("node", F.col("n"), "low_bits", "keys")
+    fields = "key long, low int, high int, block int, node long, component long, main long, n long, low_bits array<long>, keys array<long>"
+    names = [f.split()[0] for f in fields.split(", ")]
+    grouped = lambda df: df.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+
+    def taking_part(batches):
+        for table in _groups(batches):
+            part = set()
+            for i, partners in _promising_partners(table, percent):
+                part.add(int(i))
+                part.update(partners.tolist())
+            if part:
+                yield from table.take(pa.array(sorted(part))).to_batches()
+
+    def as_sets(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def link(batches):
+        for table in _groups(batches):
+            sets = [np.frombuffer(v, np.uint64) for v in table.column("shingles").to_pylist()]
+            lengths = np.array([len(v) for v in sets])
+            owner = np.repeat(np.arange(len(sets)), lengths)
+            flat = np.concatenate(sets)
+            order = np.argsort(flat, kind="stable")
+            ordered, owner = flat[order], owner[order]
+            node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+            joined: dict[int, int] = {}
+
+            def root(c):
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            found = []
+            for i, partners in _promising_partners(table, percent):
+                open_ones = [j for j in partners.tolist() if root(part[j]) != root(part[i])]
+                if not open_ones:
+                    continue
+                first, last = np.searchsorted(ordered, sets[i], "left"), np.searchsorted(ordered, sets[i], "right")
+                common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(first, last)]), minlength=len(sets))
+                for j in open_ones:
+                    if 100 * common[j] >= percent * (lengths[i] + lengths[j] - common[j]) and root(part[j]) != root(part[i]):
+                        joined[root(part[j])] = root(part[i])
+                        found.append((node[i], node[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    chosen = grouped(met.join(own, "node").select(*names)).mapInArrow(taking_part, fields)
+    sets = texts.mapInArrow(as_sets, "node long, shingles binary")
+    return grouped(chosen.join(sets, "node").select(*names, "shingles")).mapInArrow(link, "a long, b long").distinct()
+
+
 def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles and component_id (least id reachable by links)."""
     rows = stored(signatures(docs, shingle, id_col, text_col), "minhash-signatures")
@@ -183,16 +293,13 @@ def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     links = stored(confirmed(best, texts, shingle, percent), "minhash-links")
     labels = components(links)
 
-    # buckets that hold several components: members outside the main one against all others
+    # buckets that still hold several components
     placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
-    mixed_buckets = stored(placed.join(mains.select("key", "main"), "key"), "minhash-mixed")
-    outside = mixed_buckets.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("part"))
-    others = mixed_buckets.select("key", F.col("node").alias("b"), "component", "main")
-    across = outside.join(others, "key").filter("part <> component AND (component = main OR a < b)")
-    pairs = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(confirmed(promising(pairs, classes, percent), texts, shingle, percent), "minhash-more-links")
+    mains = counted.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")
+    ).filter("parts > 1")
+    more = stored(bucket_links(placed.join(mains, "key"), classes, texts, shingle, percent), "minhash-more-links")
     labels = components(links.unionByName(more))
 
     named = classes.join(labels, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
