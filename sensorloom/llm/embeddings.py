@@ -101,10 +101,10 @@ def forest(nodes: DataFrame, seed: int, n_nodes: int) -> DataFrame:
             )
 
     def compare(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        found = [batch for batch in batches if batch.num_rows]
+        if not found:
             return
-        table = table.sort_by([(c, "ascending") for c in ("tree", "dim", "key", "node")])
+        table = pa.Table.from_batches(found).sort_by([(c, "ascending") for c in ("tree", "dim", "key", "node")])
         node = table.column("node").to_numpy()
         group = table.column("tree").to_numpy().astype(np.int64) << 32 | table.column("dim").to_numpy()
         heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
