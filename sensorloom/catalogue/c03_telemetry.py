@@ -244,6 +244,17 @@ def p10(spark, sf):
     ("obs",),
 )
 def p13(spark, sf):
+    now = F.lit("2024-01-31").cast("timestamp")
+    return reads.preset_window(wh.observations(spark, sf), "7d", now, reads.preset_limit("7d")).select("asset_id", "id", "timestamp", "value")
+
+
+@query(
+    "P13_time_window_all",
+    """SELECT asset_id, id, timestamp, value FROM obs
+       WHERE timestamp >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY AND timestamp <= TIMESTAMP '2024-01-31'""",
+    ("obs",),
+)
+def p13_all(spark, sf):
     now = F.lit("2024-01-31").cast("timestamp")
     return reads.preset_window(wh.observations(spark, sf), "7d", now).select("asset_id", "id", "timestamp", "value")
 
@@ -298,7 +309,21 @@ def p14(spark, sf):
     ("obs",),
 )
 def a03(spark, sf):
-    built = reads.build_series(wh.observations(spark, sf), 60)
+    return series_digest(reads.build_series(wh.observations(spark, sf), 60))
+
+
+@query(
+    "A03_build_series_all",
+    """SELECT asset_id, measurement_type, max_by(unit, timestamp) AS unit, count(*)::INTEGER AS samples,
+       sha256(string_agg(epoch_us(timestamp) || '=' || CAST(value AS VARCHAR), ',' ORDER BY timestamp, id)) AS digest
+       FROM obs GROUP BY 1, 2""",
+    ("obs",),
+)
+def a03_all(spark, sf):
+    return series_digest(reads.build_series(wh.observations(spark, sf)))
+
+
+def series_digest(built):
     item = lambda s: F.concat(F.unix_micros(s["timestamp"]).cast("string"), F.lit("="), s["value"].cast("string"))
     return built.select(
         "asset_id", "measurement_type", "unit", F.size("samples").alias("samples"),

@@ -172,12 +172,6 @@ def x12(spark, sf):
     )
 
 
-@query("X13_clip_noise")
-def x13(spark, sf):
-    noised = features.noisy(F.col("l_quantity"), 0.5, 2.0, seed=7)
-    return wh.samples(spark, sf).select(*KEYS, "l_quantity", noised.alias("noisy"))
-
-
 @query("X18_derive_label", "SELECT run_id, derived_label AS label, count(*) AS rows FROM truth GROUP BY 1, 2", ("truth",))
 def x18(spark, sf):
     labelled = features.label_rows(truth(spark, sf))

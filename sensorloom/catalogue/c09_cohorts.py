@@ -107,9 +107,9 @@ def j13(spark, sf):
 
 relation(
     "damage",
-    """SELECT *, CASE WHEN min_recall <= 0.19 OR coalesce(max_missed_fraction, 0) > 0.9 OR false_alert_rate > 60 OR balanced_accuracy <= 0.30 THEN 'catastrophic'
-         WHEN balanced_accuracy_drop > 0.02 OR false_alert_rate > 36 OR coalesce(max_missed_fraction, 0) > 0.5 THEN 'major' WHEN balanced_accuracy_drop > 0.005 THEN 'moderate'
-         WHEN false_alert_rate <= 10 AND coalesce(max_missed_fraction, 0) = 0 THEN 'minor' ELSE 'moderate' END AS tier FROM (
+    """SELECT *, CASE WHEN min_recall <= 0.19 OR coalesce(max_missed_fraction, 0) > 0.9 OR coalesce(false_alert_rate, 0) > 60 OR balanced_accuracy <= 0.30 THEN 'catastrophic'
+         WHEN balanced_accuracy_drop > 0.02 OR coalesce(false_alert_rate, 0) > 36 OR coalesce(max_missed_fraction, 0) > 0.5 THEN 'major' WHEN balanced_accuracy_drop > 0.005 THEN 'moderate'
+         WHEN coalesce(false_alert_rate, 0) <= 10 AND coalesce(max_missed_fraction, 0) = 0 THEN 'minor' ELSE 'moderate' END AS tier FROM (
        SELECT e.*, b.ba - balanced_accuracy AS balanced_accuracy_drop, b.f1 - macro_f1 AS macro_f1_drop, healthy_fp - b.fp AS healthy_fp_increase FROM evaluated e, (SELECT balanced_accuracy AS ba, macro_f1 AS f1, healthy_fp AS fp FROM evaluated WHERE cohort = 'pilot') b)""",
     "evaluated",
 )
@@ -136,9 +136,9 @@ def d21(spark, sf):
 
 @query(
     "D20_ood_verdict",
-    """SELECT cohort, concat_ws('|', CASE WHEN min_recall <= 0.19 THEN 'class_recall_collapse' END, CASE WHEN coalesce(max_missed_fraction, 0) > 0.9 THEN 'missed_runs_excessive' END, CASE WHEN false_alert_rate > 60 THEN 'false_alert_rate_excessive' END,
+    """SELECT cohort, concat_ws('|', CASE WHEN min_recall <= 0.19 THEN 'class_recall_collapse' END, CASE WHEN coalesce(max_missed_fraction, 0) > 0.9 THEN 'missed_runs_excessive' END, CASE WHEN coalesce(false_alert_rate, 0) > 60 THEN 'false_alert_rate_excessive' END,
          CASE WHEN balanced_accuracy <= 0.30 THEN 'balanced_accuracy_collapse' END) AS reasons,
-       CASE WHEN tier = 'catastrophic' THEN 'DOES NOT GENERALIZE — MODEL OR FEATURE REVISION REQUIRED' WHEN balanced_accuracy_drop <= 0.001 AND false_alert_rate <= 36 AND coalesce(max_missed_fraction, 0) <= 0.5 THEN 'GENERALIZES ACCEPTABLY TO OOD V1'
+       CASE WHEN tier = 'catastrophic' THEN 'DOES NOT GENERALIZE — MODEL OR FEATURE REVISION REQUIRED' WHEN balanced_accuracy_drop <= 0.001 AND coalesce(false_alert_rate, 0) <= 36 AND coalesce(max_missed_fraction, 0) <= 0.5 THEN 'GENERALIZES ACCEPTABLY TO OOD V1'
        ELSE 'GENERALIZES WITH MATERIAL DEGRADATION' END AS verdict FROM damage""",
     ("damage",),
 )
@@ -231,8 +231,8 @@ def promotion_sql(d: dict, r: Promotion) -> str:
     return f"""SELECT round(pilot_drop, 8) AS pilot_drop, round(noise_gain, 8) AS noise_gain, round(combined_gain, 8) AS combined_gain, collapsed, missed_regressions,
       CASE WHEN pilot_drop > {r.max_pilot_drop} OR pilot_rate > {r.max_pilot_alert_rate} THEN '{d['regression']}' WHEN collapsed > 0 THEN '{d['collapse']}'
         WHEN noise_gain < {r.min_noise_gain} OR combined_gain < {r.min_combined_gain} OR noise_rate > {r.max_noise_alert_rate} OR missed_regressions > 0 THEN '{d['insufficient']}' ELSE '{d['promote']}' END AS decision FROM (
-      SELECT -max(ba_robust - ba_original) FILTER (cohort = 'pilot') AS pilot_drop, max(rate_robust) FILTER (cohort = 'pilot') AS pilot_rate, max(ba_robust - ba_original) FILTER (cohort = 'high_noise') AS noise_gain,
-        max(rate_robust) FILTER (cohort = 'high_noise') AS noise_rate, max(ba_robust - ba_original) FILTER (cohort = 'combined_ood_v1') AS combined_gain, count(*) FILTER (min_recall_robust <= {r.recall_floor}) AS collapsed,
+      SELECT coalesce(max(ba_original - ba_robust) FILTER (cohort = 'pilot'), 0) AS pilot_drop, coalesce(max(rate_robust) FILTER (cohort = 'pilot'), 0) AS pilot_rate, coalesce(max(ba_robust - ba_original) FILTER (cohort = 'high_noise'), 0) AS noise_gain,
+        coalesce(max(rate_robust) FILTER (cohort = 'high_noise'), 0) AS noise_rate, coalesce(max(ba_robust - ba_original) FILTER (cohort = 'combined_ood_v1'), 0) AS combined_gain, count(*) FILTER (min_recall_robust <= {r.recall_floor}) AS collapsed,
         count(*) FILTER (missed_robust - missed_original > {r.max_missed_regression}) AS missed_regressions FROM promotion_rows)"""
 
 

@@ -49,8 +49,16 @@ def bucket_start(ts: Column, bucket: str) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text; ``Z`` and offsets are honoured, naive text is UTC."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 date or date and time; ``Z`` and offsets are honoured, naive text is UTC whatever the session's zone.
+
+    Null for other text: parts of a date, a time alone and one-digit months, days or hours are no timestamps.
+    """
+    parts = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)?)(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?$"
+    part = lambda k: F.regexp_extract(text, parts, k)
+    clock = F.regexp_replace(part(2), ",", ".")
+    whole = F.concat(clock, F.substring(F.lit("00:00:00"), F.length(clock) + 1, F.lit(8)))
+    zone = F.when(part(3) == "", "Z").otherwise(part(3))
+    return F.when(text.rlike(parts), F.try_to_timestamp(F.concat(part(1), F.lit("T"), whole, zone)))
 
 
 def severity_band(value: Column) -> Column:

@@ -106,7 +106,8 @@ def damage(cohorts: DataFrame, baseline: str, bands: Bands = Bands()) -> DataFra
 
 
 def tier(b: Bands) -> Column:
-    drop, rate, missed = F.col("balanced_accuracy_drop"), F.col("false_alert_rate"), F.coalesce("max_missed_fraction", F.lit(0.0))
+    drop, missed = F.col("balanced_accuracy_drop"), F.coalesce("max_missed_fraction", F.lit(0.0))
+    rate = F.coalesce("false_alert_rate", F.lit(0.0))  # a cohort without healthy hours has no false alerts
     catastrophic = (
         (F.col("min_recall") <= b.recall_floor)
         | (missed > b.missed_excessive)
@@ -131,7 +132,7 @@ def tier_rank(column: Column) -> Column:
 def ood_verdict(damaged: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """Verdict and reason codes per cohort."""
     b = bands
-    rate, missed = F.col("false_alert_rate"), F.coalesce("max_missed_fraction", F.lit(0.0))
+    rate, missed = F.coalesce("false_alert_rate", F.lit(0.0)), F.coalesce("max_missed_fraction", F.lit(0.0))
     reasons = F.array_compact(
         F.array(
             F.when(F.col("min_recall") <= b.recall_floor, "class_recall_collapse"),
@@ -281,14 +282,15 @@ def promotion(
     """Ordered gates over one row per cohort with original and robust figures.
 
     Columns: cohort, ba_original, ba_robust, rate_robust, min_recall_robust, missed_original,
-    missed_robust. A missing required cohort fails the query.
+    missed_robust. A missing required cohort fails the query; a missing figure counts as no change and no alerts,
+    which is no gain.
     """
     pilot, noise, combined = names
-    of = lambda name, c: F.max(F.when(F.col("cohort") == name, c))
+    of = lambda name, c: F.coalesce(F.max(F.when(F.col("cohort") == name, c)), F.lit(0.0))
     gain = F.col("ba_robust") - F.col("ba_original")
     one = comparison.agg(
         F.count_if(F.col("cohort").isin(*names)).alias("_required"),
-        (-of(pilot, gain)).alias("pilot_drop"),
+        of(pilot, -gain).alias("pilot_drop"),
         of(pilot, F.col("rate_robust")).alias("pilot_rate"),
         of(noise, gain).alias("noise_gain"),
         of(noise, F.col("rate_robust")).alias("noise_rate"),

@@ -236,9 +236,3 @@ def derived_telemetry(voltage: Column, current: Column, fuel_flow: Column) -> Co
     power = voltage * current / F.lit(1000.0)
     efficiency = F.least(F.lit(100.0), power / F.greatest(fuel_flow * F.lit(0.033), F.lit(1e-6)) * F.lit(100.0))
     return F.struct(F.bround(power, 4).alias("power"), F.bround(efficiency, 4).alias("efficiency"))
-
-
-def noisy(value: Column, sigma: float, limit: float, seed: int) -> Column:
-    """Value plus Gaussian noise clamped to ±limit·sigma, floored at 0 and rounded."""
-    noise = F.greatest(F.lit(-limit * sigma), F.least(F.lit(limit * sigma), F.randn(seed) * F.lit(sigma)))
-    return F.bround(F.greatest(F.lit(0.0), value + noise), 4)

@@ -57,8 +57,7 @@ def as_of_join(
     answered = both.withColumn("_local", F.last(F.when(~is_left, F.col("_r")), ignorenulls=True).over(local))
     found = F.coalesce(F.col("_local"), F.col("_carry"))
     return (
-        answered.filter(is_left)
-        .join(carried, [*keys, "_bucket"], "left")
+        series.null_safe_join(answered.filter(is_left), carried, [*keys, "_bucket"], "left")
         .select("_left.*", *[found[c].alias(c) for c in take])
     )
 

@@ -54,8 +54,10 @@ def in_range(
     return out.limit(limit) if limit is not None else out
 
 
-def history_per_asset(obs: DataFrame, limit: int = DEFAULT_HISTORY_LIMIT) -> DataFrame:
-    """The oldest ``limit`` rows of every asset, across its measurement types."""
+def history_per_asset(obs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All rows, or the oldest ``limit`` rows of every asset, across its measurement types."""
+    if limit is None:
+        return obs
     oldest = Window.partitionBy("asset_id").orderBy("timestamp", "id")
     return obs.withColumn("_rk", F.row_number().over(oldest)).filter(F.col("_rk") <= limit).drop("_rk")
 
@@ -170,15 +172,19 @@ def resolve_bucket(bucket: str | None, seconds: float | None) -> str:
     return "1d" if seconds is not None and seconds > 604_800 else "1h"
 
 
-def preset_window(obs: DataFrame, preset: str, now: Column) -> DataFrame:
-    """Raw rows of a preset range ending at ``now``, at most the preset's row limit per asset."""
-    seconds, _, limit = PRESETS[preset]
+def preset_window(obs: DataFrame, preset: str, now: Column, limit: int | None = None) -> DataFrame:
+    """Raw rows of a preset range ending at ``now``; a caller may pass a row limit per asset, as ``preset_limit`` gives it."""
+    seconds = PRESETS[preset][0]
     start = F.timestamp_micros(F.unix_micros(now) - F.lit(seconds * 1_000_000))
     return history_per_asset(obs.filter((F.col("timestamp") >= start) & (F.col("timestamp") <= now)), limit)
 
 
-def build_series(obs: DataFrame, limit: int = DEFAULT_HISTORY_LIMIT) -> DataFrame:
-    """Ordered samples and last unit per (asset, type) over the asset's bounded history."""
+def preset_limit(preset: str) -> int:
+    return PRESETS[preset][2]
+
+
+def build_series(obs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ordered samples and last unit per (asset, type) over the asset's history, or its oldest ``limit`` rows."""
     sample = F.struct("timestamp", "id", "value")
     grouped = history_per_asset(obs, limit).groupBy("asset_id", "measurement_type").agg(
         F.array_sort(F.collect_list(sample)).alias("_s"), F.max_by("unit", F.struct("timestamp", "id")).alias("unit")

@@ -18,6 +18,7 @@ one task:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,14 @@ HOT_ROWS = 2_000_000
 BLOCK_ROWS = 200_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key matches a null key; the right side's keys are dropped."""
+    names = [f"_right_key_{i}" for i in range(len(keys))]
+    renamed = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return left.join(renamed, on, how).drop(*names)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: at most ``total_rows / hot_rows`` of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (hot_rows or HOT_ROWS)).select(*keys)
@@ -42,14 +51,14 @@ def with_position(
     """1-based row number per ``keys`` in ``order``.
 
     ``chunk`` must be non-decreasing along ``order`` (for example the date of the
-    leading timestamp). It only takes effect for series above ``hot_rows``; their
-    list is bounded by ``rows / hot_rows`` and therefore safe to broadcast.
+    leading timestamp). It only takes effect for series above ``hot_rows``. A null
+    key is a series like any other.
     """
     keys = list(keys)
     hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    tagged = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk))
+    tagged = null_safe_join(df, hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk))
     sizes = (
-        df.join(F.broadcast(hot), keys, "left_semi")
+        null_safe_join(df, hot, keys, "left_semi")
         .withColumn("_chunk", chunk)
         .groupBy(*keys, "_chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -59,7 +68,7 @@ def with_position(
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     numbered = tagged.withColumn("_local", F.row_number().over(local))
     return (
-        numbered.join(offsets, [*keys, "_chunk"], "left")
+        null_safe_join(numbered, offsets, [*keys, "_chunk"], "left")
         .withColumn(name, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long"))
         .drop("_chunk", "_hot", "_local", "_offset")
     )
@@ -116,8 +125,7 @@ def running_total(df: DataFrame, keys: Sequence[str], value: Column, name: str,
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
     return (
-        blocked.withColumn("_run", F.sum("_v").over(local))
-        .join(bases, [*keys, "_block"], "left")
+        null_safe_join(blocked.withColumn("_run", F.sum("_v").over(local)), bases, [*keys, "_block"], "left")
         .withColumn(name, F.col("_run") + F.coalesce(F.col("_base"), F.lit(0)))
         .drop("_v", "_run", "_base", "_block")
     )
@@ -132,8 +140,7 @@ def running_max(df: DataFrame, keys: Sequence[str], value: Column, name: str, po
     bases = tops.select(*keys, "_block", F.max("_top").over(earlier).alias("_base"))
     local = block_window(keys, pos).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.withColumn("_run", F.max("_v").over(local))
-        .join(bases, [*keys, "_block"], "left")
+        null_safe_join(blocked.withColumn("_run", F.max("_v").over(local)), bases, [*keys, "_block"], "left")
         .withColumn(name, F.greatest("_run", "_base"))
         .drop("_v", "_run", "_base", "_block")
     )
@@ -171,7 +178,7 @@ def cumulative_by_value(
     # shuffle behind ``counted`` is shared by both uses
     edges = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 2_000)).alias("_edges"))
     # without keys there is one row of cut points, so attaching it adds no rows
-    located = counted.join(edges, keys) if keys else counted.crossJoin(F.broadcast(edges))
+    located = null_safe_join(counted, edges, keys) if keys else counted.crossJoin(F.broadcast(edges))
     binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
     along = Window.partitionBy(*keys).orderBy("_bin")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -188,7 +195,7 @@ def cumulative_by_value(
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(chained, [*keys, "_bin"]).select(
+    return null_safe_join(binned, chained, [*keys, "_bin"]).select(
         *keys,
         "_v",
         F.coalesce(F.lead("_v").over(inside), F.col("_next_low")).alias("_next"),

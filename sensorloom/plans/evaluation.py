@@ -58,7 +58,10 @@ def alert_figures(folded: DataFrame, runs: DataFrame, cohort: str = "cohort") ->
     missed = alerts.missed_fraction_by_class(detected, (cohort, "fault_class")).groupBy(cohort).agg(
         F.max("any_missed_fraction").alias("max_missed_fraction")
     )
-    return figures.join(summary, cohort, "left").join(missed, cohort, "left")
+    # every cohort keeps its detection figures; without healthy hours there are no false alerts
+    every = runs.select(cohort).distinct()
+    joined = every.join(figures, cohort, "left").join(summary, cohort, "left").join(missed, cohort, "left")
+    return joined.fillna(0, ["false_alert_rate", "healthy_runs_affected"])
 
 
 def choose_persistence(rows: DataFrame, runs: DataFrame, healthy: str, candidates: Sequence[int] = (2, 3), cadence: float = 10.0) -> DataFrame:
