@@ -80,14 +80,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     shape = np.array([_SEEN.shape[k] for k in found], np.int64)
     word = np.sort(word)
     word = word[np.r_[True, word[1:] != word[:-1]]] if n else word
-    share = np.bincount(shape, counts / n, DIMENSIONS) if n else np.empty(0)
-    shapes = np.flatnonzero(share)
+    order = np.argsort(shape, kind="stable")
+    shapes, sizes = _counted(shape)
+    share = np.add.reduceat(counts[order] / n, np.cumsum(sizes) - sizes) if n else np.empty(0)
     repeat = int(10 * (words[1:] == words[:-1]).mean()) if n > 1 else 0
     fresh = int(10 * len(distinct) / n) if n else 0
     size = min(8, n.bit_length() // 2)
     classes = np.array([_bucket(b"r%d" % repeat), _bucket(b"f%d,%d" % (fresh, size))])
     index = np.concatenate([word, shapes, classes])
-    value = np.concatenate([np.ones(len(word)), 4 * share[shapes], np.ones(2)])
+    value = np.concatenate([np.ones(len(word)), 4 * share, np.ones(2)])
     order = np.argsort(index, kind="stable")
     index, value = index[order], value[order]
     heads = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
