@@ -34,6 +34,7 @@ MIN_SCORE = 4.0  # nor one whose documents reach each grade as often as all do,
 START_BYTES = 5
 PENALTY = 1e-5
 STEPS = 400
+FREQUENT = 10  # features of at least one in so many rated documents are fitted as a dense matrix, at most 40 bytes a feature value
 SELECT_AT = 0.5
 
 _EDGES = b".,;:!?\"'()[]{}<>|*#$%&_-"
@@ -139,6 +140,12 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades:
     owner, value = owner[keep], value[keep]
     index = np.searchsorted(columns, index[keep])
     n, d = len(grades), len(columns)
+    frequent = np.bincount(index, minlength=d) * FREQUENT >= n
+    wide = np.flatnonzero(frequent)
+    dense = np.zeros((n, len(wide)), np.float32)
+    held = frequent[index]
+    dense[owner[held], np.searchsorted(wide, index[held])] = value[held]
+    owner, index, value = owner[~held], index[~held], value[~held]
     top = n_grades - 1
     # thresholds start at the shares of the grades; the differences are kept positive as exponentials
     above = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
@@ -149,7 +156,7 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades:
         weight = state[:d]
         gaps = np.exp(state[d + 1 :])
         thresholds = state[d] + np.r_[0, np.cumsum(gaps)]
-        score = np.bincount(owner, value * weight[index], n)
+        score = np.bincount(owner, value * weight[index], n) + dense @ weight[wide].astype(np.float32)
         tail = np.c_[np.ones(n), _sigmoid(score[:, None] - thresholds), np.zeros(n)]
         density = tail * (1 - tail)
         at = np.arange(n)
@@ -160,8 +167,10 @@ def fit(grades: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], n_grades:
         np.add.at(d_threshold, grades, d_low / n)
         np.add.at(d_threshold, grades + 1, -d_high / n)
         d_threshold = d_threshold[1:-1]
+        d_weight = np.bincount(index, value * d_score[owner], d) + PENALTY * weight
+        d_weight[wide] += d_score.astype(np.float32) @ dense
         gradient = np.r_[
-            np.bincount(index, value * d_score[owner], d) + PENALTY * weight,
+            d_weight,
             d_threshold.sum(),
             [d_threshold[k:].sum() * gaps[k - 1] for k in range(1, top)],
         ]
