@@ -161,7 +161,7 @@ def alert_fold(
         return frame[[*keys, "_block", *names]]
 
     long = scored.filter(F.col(pos) > block_rows).select(*keys).distinct()
-    several = blocked.join(F.broadcast(long), keys, "left_semi")  # at most rows / block_rows keys
+    several = blocked.join(long, keys, "left_semi")
     tables = several.groupBy(*keys, "_block").applyInPandas(
         transfer, f"{key_schema}, _block long, policy_id int, table string"
     )
