@@ -3,8 +3,8 @@
 Equal vectors form one class. The neighbour graph starts from a forest: in each tree vectors are ordered by the signs
 of random projections and neighbours in blocks of that order are compared. It is refined by joining neighbours of
 neighbours until hardly an entry changes. A list of ``LIST_SIZE`` entries that all reach the threshold is saturated:
-it is enlarged to all saturated members of its component, which are compared block by block, counting links where
-they are found. Edges that reach the threshold are kept. The recall is audited against brute force for a bounded
+its links with other saturated nodes, of its own component and of all others, are counted block by block; only pairs
+of blocks that are too far apart to hold a link are left out. Edges that reach the threshold are kept. The recall is audited against brute force for a bounded
 sample of queries, and while it is under ``RECALL`` another forest and descent follow.
 
 Similarity is the cosine in double precision. Vectors that are null, empty, zero, or hold null or non-finite components
@@ -174,32 +174,84 @@ def descend(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             return lists
 
 
-def _block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, n) links of each node of (node, part, vector, weight) with others of its part, counted block by block."""
-    sizes = members.groupBy("part").agg(F.count("*").alias("n"))
-    cut = members.join(sizes, "part").select(
-        "part", "node", "vector", "weight", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("block")
-    )
-    # each unordered pair of blocks meets once
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
-    met = cut.select("part", "node", "vector", "weight", "block", partner).select(
-        "part", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "node", "vector", "weight"
-    )
+def _components_of(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Least node of each node's component in a symmetric matrix of links."""
+    least = nodes.copy()
+    while True:
+        found = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (found == least).all():
+            return least
+        least = found
+
+
+def _block_pairs(cut: DataFrame, threshold: float) -> DataFrame:
+    """(part_a, block_a, part_b, block_b): each unordered pair of blocks that can hold a link, a block with itself too.
+
+    A block has a pivot, its mean direction, and a radius, the largest angle to it. Blocks whose pivots are further apart
+    than both radii and the threshold's angle hold no link (triangle inequality of angles), so no link is passed over.
+    """
+
+    def pivot(table: pa.Table) -> pa.Table:
+        units = _units(table.column("vector").to_pylist())
+        mean = units.mean(axis=0)
+        norm = np.linalg.norm(mean)
+        mean = mean / norm if norm > 1e-6 else units[0]
+        radius = float(np.arccos(np.clip((units @ mean).min(), -1, 1)))
+        own = table.select(["part", "block"]).slice(0, 1)
+        return own.append_column("dim", pa.array([len(mean)], pa.int32())).append_column("pivot", pa.array([mean.tobytes()], pa.binary())).append_column("radius", pa.array([radius]))
+
+    pivots = stored(cut.select("part", "block", "vector").groupBy("part", "block").applyInArrow(pivot, "part long, block int, dim int, pivot binary, radius double"), "embedding-pivots")
+    sizes = pivots.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    dealt = pivots.join(sizes, "dim").withColumn("own", F.pmod(F.xxhash64("part", "block"), F.col("groups")).cast("int"))
+    met = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    met = met.select("dim", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), "own", "part", "block", "pivot", "radius")
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # more than rounding adds to an angle
+
+    def near(table: pa.Table) -> pa.Table:
+        own, low, high, part, block, radius = (table.column(c).to_numpy() for c in ("own", "low", "high", "part", "block", "radius"))
+        units = _units(table.column("pivot").to_pylist())
+        first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        angle = np.arccos(np.clip(units[first] @ units[second].T, -1, 1))
+        close = angle <= radius[first][:, None] + radius[second][None, :] + reach
+        if low[0] == high[0]:
+            close = np.triu(close)
+            np.fill_diagonal(close, True)
+        a, b = np.nonzero(close)
+        a, b = first[a], second[b]
+        return pa.table({"part_a": part[a], "block_a": block[a], "part_b": part[b], "block_b": block[b]})
+
+    return met.groupBy("dim", "low", "high").applyInArrow(near, "part_a long, block_a int, part_b long, block_b int")
+
+
+def _block_links(members: DataFrame, threshold: float, connected: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(node, n) links of each node of (node, part, vector, weight) with all other members, counted block by block, and
+    (a, b) nodes that those links join. Where ``connected``, links inside a part are known to join it and are left out."""
+    sizes = members.groupBy("part").agg(F.count("*").alias("size"))
+    number = F.ceil(F.col("size") / BLOCK)
+    cut = stored(members.join(sizes, "part").select("part", F.pmod(F.xxhash64("node"), number).cast("int").alias("block"), "node", "vector", "weight"), "embedding-blocks")
+    pairs = stored(_block_pairs(cut, threshold).select(F.monotonically_increasing_id().alias("pair"), "*"), "embedding-pairs")
+    same = (F.col("part_a") == F.col("part_b")) & (F.col("block_a") == F.col("block_b"))
+    within = F.col("part_a") == F.col("part_b")
+    side = lambda c: pairs.select("pair", F.col(f"part_{c}").alias("part"), F.col(f"block_{c}").alias("block"), F.lit(c == "a").alias("first"), same.alias("same"), within.alias("within"))
+    met = side("a").unionByName(side("b").filter(~F.col("same"))).join(cut, ["part", "block"])
 
     def count(table: pa.Table) -> pa.Table:
-        block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        head, node, weight = (table.column(c).to_numpy() for c in ("first", "node", "weight"))
         vectors = _units(table.column("vector").to_pylist())
-        first = np.flatnonzero(block == low)
-        second = np.flatnonzero(block == high)
-        linked = (vectors[first] @ vectors[second].T) >= threshold
-        if low[0] == high[0]:
-            np.fill_diagonal(linked, False)
-            return pa.table({"node": node[first], "n": linked @ weight[second]})
-        return pa.table({"node": np.r_[node[first], node[second]], "n": np.r_[linked @ weight[second], linked.T @ weight[first]]})
-
-    found = met.groupBy("part", "low", "high").applyInArrow(count, "node long, n long")
-    return found.groupBy("node").agg(F.sum("n").alias("n"))
+        first = np.flatnonzero(head)
+        second = first if table.column("same")[0].as_py() else np.flatnonzero(~head)
+        linked = np.zeros((len(node), len(node)), bool)
+        linked[np.ix_(first, second)] = (vectors[first] @ vectors[second].T) >= threshold
+        np.fill_diagonal(linked, False)
+        linked |= linked.T
+        n = linked @ weight
+        least = node if connected and table.column("within")[0].as_py() else _components_of(linked, node)
+        own = n > 0
+        return pa.table({"node": node[own], "n": n[own], "least": least[own]})
+
+    found = stored(met.groupBy("pair").applyInArrow(count, "node long, n long, least long"), "embedding-dense")
+    joined = found.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return found.groupBy("node").agg(F.sum("n").alias("n")), joined
 
 
 def audit(nodes: DataFrame, lists: DataFrame, parts: DataFrame, threshold: float, n_nodes: int, forests: int, queries: int = AUDIT_QUERIES) -> Audit:
@@ -235,7 +287,7 @@ def audit(nodes: DataFrame, lists: DataFrame, parts: DataFrame, threshold: float
         .join(parts.select("node", F.col("part").alias("part_a")), "node", "left")
         .join(parts.select(F.col("node").alias("other"), F.col("part").alias("part_b")), "other", "left")
     )
-    found = F.coalesce(F.col("held"), F.col("part_a") == F.col("part_b"), F.lit(False))
+    found = F.coalesce(F.col("held"), F.col("part_a").isNotNull() & F.col("part_b").isNotNull(), F.lit(False))
     row = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum(found.cast("long")), F.lit(0)).alias("found")).first()
     return Audit(row["n"], row["found"], forests)
 
@@ -254,20 +306,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         full = _saturated(lists, threshold)
         edges = lists.filter(F.col("similarity") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b"))
         inner = edges.join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi")
-        parts = stored(components(inner).select("node", F.col("component").alias("part")), "embedding-parts")
+        # a saturated node without a saturated neighbour in its list is a part of its own
+        inside = full.join(components(inner), "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+        parts = stored(inside, "embedding-parts")
         seen = audit(nodes, lists, parts, threshold, n_nodes, forests)
         if seen.recall >= RECALL:
             break
 
-    # links inside a saturated part are counted in blocks, the others come from the lists
-    dense = _block_links(parts.join(nodes.select("node", "vector", "weight"), "node"), threshold)
+    # links between saturated nodes, of one part or of two, are counted in blocks, the others come from the lists
+    dense, joined = _block_links(parts.join(nodes.select("node", "vector", "weight"), "node"), threshold)
     sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     placed = sides.join(parts.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a", "left").join(
         parts.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b", "left"
     )
-    sparse = placed.filter(~F.coalesce(F.col("part_a") == F.col("part_b"), F.lit(False))).join(nodes.select(F.col("node").alias("b"), "weight"), "b")
+    sparse = placed.filter("part_a IS NULL OR part_b IS NULL").join(nodes.select(F.col("node").alias("b"), "weight"), "b")
     links = dense.unionByName(sparse.select(F.col("a").alias("node"), F.col("weight").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
-    labels = components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))))
+    labels = components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))).unionByName(joined))
     named = nodes.join(links, "node", "left").join(labels, "node", "left")
     named = named.select("vector", "first_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -41,6 +41,18 @@ def test_links_as_by_brute_force(spark, monkeypatch, block):
     assert got == brute(rows, 0.95) and audit.recall >= 0.9
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_links_between_dense_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.standard_normal((24, 3)))[0].T
+    turned = 0.97 * axes[0] + np.sqrt(1 - 0.97**2) * axes[1]
+    rows = [(k, (c + 0.005 * rng.standard_normal(24)).tolist()) for c, at in ((axes[0], 0), (turned, 100), (axes[2], 200)) for k in range(at, at + 40)]
+    out, _ = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()), key=str)
+    assert got == brute(rows, 0.95) and {c for _, _, c in got} == {0, 200}
+
+
 def test_empty_table(spark):
     out, audit = embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.count() == 0 and audit.recall == 1.0
