@@ -5,7 +5,8 @@ of random projections and neighbours in blocks of that order are compared. It is
 neighbours until hardly an entry changes. A list of ``LIST_SIZE`` entries that all reach the threshold is saturated:
 its links with other saturated nodes, of its own component and of all others, are counted block by block; only pairs
 of blocks that are too far apart to hold a link are left out. Edges that reach the threshold are kept. The recall is audited against brute force for a bounded
-sample of queries, and while it is under ``RECALL`` another forest and descent follow.
+sample of queries, as the average per query and apart for queries that are not saturated, and while either is under
+``RECALL`` another forest and descent follow. Where ``MAX_FORESTS`` do not reach it, all pairs are compared in blocks.
 
 Similarity is the cosine in double precision. Vectors that are null, empty, zero, or hold null or non-finite components
 are linked with nothing, and vectors of different lengths are not linked. Equal vectors are linked with each other.
@@ -39,15 +40,19 @@ CHANGED = 0.001  # share of list entries whose change ends the descent
 
 @dataclass(frozen=True)
 class Audit:
-    """Links of the sampled queries by brute force, and how many of them the graph has."""
+    """Links of the sampled queries by brute force, how many of them the graph has, and the average share found per query
+    with links: over all such queries, and over those that are not saturated. ``exact`` where all pairs were compared."""
 
     true_links: int
     found_links: int
     forests: int
+    query_recall: float = 1.0
+    open_recall: float = 1.0
+    exact: bool = False
 
     @property
     def recall(self) -> float:
-        return self.found_links / self.true_links if self.true_links else 1.0
+        return min(self.query_recall, self.open_recall)
 
 
 def _units(column) -> np.ndarray:
@@ -255,12 +260,19 @@ def _block_links(members: DataFrame, threshold: float, connected: bool = True) -
 
 
 def audit(nodes: DataFrame, lists: DataFrame, parts: DataFrame, threshold: float, n_nodes: int, forests: int, queries: int = AUDIT_QUERIES) -> Audit:
-    """Recall of links for about ``queries`` classes chosen by hash, against all classes in blocks."""
-    share = min(1.0, queries / max(1, n_nodes))
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), 1 << 20) < int(share * (1 << 20))).select("node", "vector").orderBy("node").limit(2 * queries).collect()
+    """Recall per query for about ``queries`` saturated and as many other classes chosen by hash, against all classes in blocks.
+
+    Links between two saturated nodes are counted in blocks later, so they count as found.
+    """
+    n_full = parts.count()
+    rate = lambda n: int(min(1.0, queries / max(1, n)) * (1 << 20))
+    marked = nodes.join(parts.select("node", F.lit(True).alias("full")), "node", "left")
+    limit = F.when(F.col("full"), rate(n_full)).otherwise(rate(n_nodes - n_full))
+    picked = marked.filter(F.pmod(F.xxhash64("node", F.lit("audit")), 1 << 20) < limit).select("node", "vector", "full")
+    chosen = [r for kind in ("full", "full IS NULL") for r in picked.filter(kind).orderBy("node").limit(2 * queries).collect()]
     if not chosen:
         return Audit(0, 0, forests)
-    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vector"])) for r in chosen])  # at most 2 * queries vectors
+    shared = nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["vector"])) for r in chosen])  # at most 4 * queries vectors
 
     def brute(batches):
         by_size: dict[int, list] = {}
@@ -288,8 +300,9 @@ def audit(nodes: DataFrame, lists: DataFrame, parts: DataFrame, threshold: float
         .join(parts.select(F.col("node").alias("other"), F.col("part").alias("part_b")), "other", "left")
     )
     found = F.coalesce(F.col("held"), F.col("part_a").isNotNull() & F.col("part_b").isNotNull(), F.lit(False))
-    row = marked.agg(F.count("*").alias("n"), F.coalesce(F.sum(found.cast("long")), F.lit(0)).alias("found")).first()
-    return Audit(row["n"], row["found"], forests)
+    each = marked.groupBy("node").agg(F.count("*").alias("n"), F.sum(found.cast("long")).alias("found"), F.first("part_a").isNull().alias("open")).collect()  # one row per query
+    share = lambda rows: sum(r["found"] / r["n"] for r in rows) / len(rows) if rows else 1.0
+    return Audit(sum(r["n"] for r in each), sum(r["found"] for r in each), forests, share(each), share([r for r in each if r["open"]]))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Audit]:
@@ -312,16 +325,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         seen = audit(nodes, lists, parts, threshold, n_nodes, forests)
         if seen.recall >= RECALL:
             break
+    else:  # the graph stays short of links: all pairs are compared, as one part per length
+        seen = Audit(seen.true_links, seen.true_links, forests, exact=True)
+        parts = nodes.select("node", F.octet_length("vector").cast("long").alias("part"))
+        edges = edges.limit(0)
 
     # links between saturated nodes, of one part or of two, are counted in blocks, the others come from the lists
-    dense, joined = _block_links(parts.join(nodes.select("node", "vector", "weight"), "node"), threshold)
+    dense, joined = _block_links(parts.join(nodes.select("node", "vector", "weight"), "node"), threshold, connected=not seen.exact)
     sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     placed = sides.join(parts.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a", "left").join(
         parts.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b", "left"
     )
     sparse = placed.filter("part_a IS NULL OR part_b IS NULL").join(nodes.select(F.col("node").alias("b"), "weight"), "b")
     links = dense.unionByName(sparse.select(F.col("a").alias("node"), F.col("weight").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
-    labels = components(edges.unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b"))).unionByName(joined))
+    if not seen.exact:
+        joined = joined.unionByName(edges).unionByName(parts.select(F.col("node").alias("a"), F.col("part").alias("b")))
+    labels = components(joined)
     named = nodes.join(links, "node", "left").join(labels, "node", "left")
     named = named.select("vector", "first_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -53,6 +53,21 @@ def test_links_between_dense_groups(spark, monkeypatch, block):
     assert got == brute(rows, 0.95) and {c for _, _, c in got} == {0, 200}
 
 
+def test_audit_counts_queries_and_its_failure_ends_in_all_pairs(spark, monkeypatch):
+    """Without a useful forest the dense group's links hide the missing pairs; no graph at all still gives every link."""
+    rng = np.random.default_rng(5)
+    pairs = rng.standard_normal((20, 24))
+    rows = [(k, (pairs[k % 20] + 0.02 * rng.standard_normal(24)).tolist()) for k in range(40)]
+    centre = rng.standard_normal(24)
+    rows += [(100 + k, (centre + 0.02 * rng.standard_normal(24)).tolist()) for k in range(40)]
+    real = embeddings.forest
+    monkeypatch.setattr(embeddings, "MAX_FORESTS", 1)
+    monkeypatch.setattr(embeddings, "forest", lambda nodes, seed, n: real(nodes, seed, n).filter("similarity >= 0.97").join(nodes.filter("first_id >= 100").select("node"), "node", "left_semi"))
+    out, audit = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect()), key=str)
+    assert got == brute(rows, 0.95) and audit.exact
+
+
 def test_empty_table(spark):
     out, audit = embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert out.count() == 0 and audit.recall == 1.0
