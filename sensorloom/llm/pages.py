@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their blocks; the page votes for the generalised path of its best
-container (tags with their classes, digits and positions left out). Votes are counted per host in Spark, and every
+Each page's containers are scored by the text of their blocks; from the best one the page climbs to the container that
+also holds the title and lead beside it, and votes for the generalised path of that (tags with their classes, digits and positions left out). Votes are counted per host in Spark, and every
 page is extracted again from the containers on its host's winning path. A page that has no text there uses its own best container.
 
 What belongs to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is
@@ -207,6 +207,39 @@ def best_container(page: Page, out: list[bool]) -> tuple[int, float]:
     return best, score[best]
 
 
+def whole_container(page: Page, out: list[bool], best: int) -> int:
+    """The element around ``best`` that also holds the title and lead beside it.
+
+    That is the nearest article or main around it. From there (up to a main around it), or from ``best`` where there is
+    none, it goes on to each ancestor that has text of its own, and whose further text is not mostly links.
+    """
+    elements = page.elements
+    chain = [best]
+    while elements[chain[-1]].parent >= 0:
+        chain.append(elements[chain[-1]].parent)
+    at = next((d for d, k in enumerate(chain) if elements[k].tag in ("article", "main") and not out[k]), -1)
+    top = len(chain) - 1
+    if at >= 0:
+        top = next((d for d in range(at, len(chain)) if elements[chain[d]].tag == "main"), at)
+    at = max(at, 0)
+    levels = {k: d for d, k in enumerate(chain)}
+    chars, links, direct = [0] * len(chain), [0] * len(chain), [False] * len(chain)
+    for k, text, linked in page.blocks:
+        if out[k]:
+            continue
+        owner = elements[k].parent if elements[k].tag in ("p", *HEADINGS) and k not in levels else k
+        while k not in levels:
+            k = elements[k].parent
+        d = levels[k]
+        chars[d], links[d], direct[d] = chars[d] + len(text), links[d] + linked, direct[d] or owner == chain[d]
+    for d in range(at + 1, top + 1):
+        if chars[d] and (not direct[d] or 2 * links[d] > chars[d]):
+            break
+        if chars[d]:
+            at = d
+    return chain[at]
+
+
 def _within(page: Page, chosen: set[int]) -> list[bool]:
     inside: list[bool] = []
     for k, e in enumerate(page.elements):
@@ -226,7 +259,7 @@ def extract(source: str | None, path: str | None) -> str:
         text = "\n".join(t for k, t, _ in page.blocks if inside[k] and not out[k])
         if text:
             return text
-        chosen = {best_container(page, out)[0]}
+        chosen = {whole_container(page, out, best_container(page, out)[0])}
     return ""
 
 
@@ -242,8 +275,9 @@ def votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             paths, scores = [], []
             for source in batch.column(1).to_pylist():
                 page = parse(source or "")
-                best, score = best_container(page, page.left_out())
-                paths.append(page.paths()[best] if score > 0 else None)
+                out = page.left_out()
+                best, score = best_container(page, out)
+                paths.append(page.paths()[whole_container(page, out, best)] if score > 0 else None)
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 

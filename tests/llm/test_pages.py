@@ -28,3 +28,13 @@ def test_unclosed_and_stray_tags():
     assert pages.extract("<article><p>a</b></i>b</section>c<p>d<td>e", None) == "ab\nc\nd\ne"
     assert pages.extract("no tags < at all", None) == "no tags < at all"
     assert pages.extract("<p>x<!-- y --><!-- never closed <p>z", None) == "x"
+
+
+def test_title_and_lead_outside_the_content_div(spark):
+    inner = "<h1>Title</h1><p>A lead.</p><div class='entry-content'><p>%s</p></div>" % ("body text " * 40).strip()
+    whole = "Title\nA lead.\n" + ("body text " * 40).strip()
+    outer = {"a": f"<article>{inner}</article>", "b": f"<div class='page'>{inner}</div><div><p>other box</p></div>", "c": f"<main><article>{inner}</article></main>"}
+    outer["d"] = f"<main><h1>Title</h1><p>A lead.</p><article>{inner.split('</p>', 1)[1]}</article></main>"
+    rows = [(k, f"http://{h}.example/{k}", f"<body><nav><a>Home</a></nav>{source}<footer>F</footer></body>") for h, source in outer.items() for k in range(2)]
+    got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["url"][7], r["text"]) for r in got} == {(h, whole) for h in outer}
