@@ -332,9 +332,8 @@ def m04(spark, sf):
 def m10(spark, sf):
     rows = cut_lineage(evaluated(spark, sf))
     runs = wh.runs(spark, sf).withColumnRenamed("class_label", "fault_class")
-    grid = alerts.policy_grid((0.40, 0.50), (2, 3), (0.50,), (2, 3))
     table = evaluation.alert_policy_search(
-        rows.filter(F.col("split") == "validation"), runs.filter(F.col("split") == "validation"), C, "N", grid
+        rows.filter(F.col("split") == "validation"), runs.filter(F.col("split") == "validation"), C, "N", alerts.policy_grid()
     )
     return table.drop("entry_probability", "exit_probability")
 
