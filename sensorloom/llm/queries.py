@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, embeddings, lengths, licenses, minhash, packing, pages, quality, rules, sharding
+from sensorloom.llm import bpe, embeddings, interactions, lengths, licenses, minhash, packing, pages, quality, rules, sharding, token_files, vector_codes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,9 +62,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(interactions.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, end_id=2)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op6_embeddings, op7_licenses, op8_token_counts, op9_html, op10_packing)
+    for f in (
+        op1_minhash, op2_quality, op3_sharding, op4_bpe, op5_rules, op6_embeddings, op7_licenses, op8_token_counts, op9_html, op10_packing,
+        op11_vector_codes, op12_interactions, op13_token_files,
+    )
 }
 
 RULES_SQL = r"""
@@ -146,4 +161,47 @@ WITH parts AS (
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
 """
 
-ORACLES: dict[str, str] = {"op9_html": HTML_SQL, "op5_rules": RULES_SQL, "op7_licenses": licenses_sql()}
+# Every document against every order, without masks: the first filter of the order that it fails removes it.
+INTERACTIONS_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+least AS (SELECT text, min(doc_id) AS least_id FROM docs GROUP BY text),
+rated AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs JOIN least USING (text) LEFT JOIN rated USING (doc_id)
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > least_id THEN 'E' ELSE '' END AS fails
+  FROM worded
+), counted AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), gone AS (
+  SELECT part, fails, n, good, toxic, filter_order,
+         coalesce(list_min(list_transform(regexp_extract_all(fails, '.'), lambda x: strpos(filter_order, x))), 6) AS gone_at
+  FROM counted, orders
+), shares AS (
+  SELECT part, f, sum(CASE WHEN gone_at < 6 AND substr(filter_order, gone_at, 1) = f THEN n ELSE 0 END) AS shapley FROM gone, letters GROUP BY part, f
+), steps AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS f,
+         sum(CASE WHEN gone_at > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone_at = step THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone_at < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone_at = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone_at = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM gone, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(shapley AS BIGINT) AS shapley
+FROM steps JOIN shares USING (part, f)
+"""
+
+ORACLES: dict[str, str] = {"op9_html": HTML_SQL, "op5_rules": RULES_SQL, "op7_licenses": licenses_sql(), "op12_interactions": INTERACTIONS_SQL}
