@@ -229,7 +229,12 @@ def fault_evidence(
         fresh = investigations(both).filter(~F.col("_known")).drop("_known")
     else:
         fresh = investigations(fresh)
-    out = fault_recommendation(corroborate(fresh, obs, seconds, limit))
+    return recommended(fresh, obs, seconds, limit)
+
+
+def recommended(investigated: DataFrame, obs: DataFrame, seconds: float = WINDOW_SECONDS, limit: int = SAMPLE_LIMIT) -> DataFrame:
+    """Investigated transitions with their corroboration and recommendation."""
+    out = fault_recommendation(corroborate(investigated, obs, seconds, limit))
     return out.withColumn(
         "recommendation_id",
         F.when(

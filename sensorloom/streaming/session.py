@@ -1,35 +1,48 @@
 """Stateful telemetry sessions: sample assembly, rolling features, scoring and alerting per asset.
 
-One ``transformWithState`` operator keyed by asset keeps a small bounded state: at most
-``max_pending`` half-filled samples, the last ``warmup`` complete samples and one alert
-machine. The same pure functions serve the unit tests and the parity checks against batch.
+One ``transformWithState`` operator keyed by asset keeps a small bounded state: at most ``max_pending`` half-filled
+samples (a map by timestamp, with a timer each), the last ``warmup`` complete samples, one alert machine and the number of
+the last reset of all sessions. Its rows are tagged: results, and quality rows for late readings, conflicting readings and
+samples that stay incomplete. The same pure functions serve the unit tests and the comparison with batch.
+
+Readings of one asset are taken in the order of ``arrival`` within a micro-batch; sources bound a micro-batch by
+``maxFilesPerTrigger`` (``streaming.replay``), so what is ordered at a time is bounded.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sensorloom.functions import hysteresis as hy
 from sensorloom.functions.linear import LinearScorer, window_statistics
+from sensorloom.functions.scalar import name_uuid
+from sensorloom.operators.corroboration import RESULT_NAMESPACE
 from sensorloom.operators.features import FeatureSpec
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
-    "asset_id string, timestamp timestamp, kind string, status string, reason string, sample_no long, values map<string,double>, "
-    "scores map<string,double>, diagnosed_class string, alert_state string, event_type string, from_state string, to_state string, "
-    "fault_class string"
+    "asset_id string, timestamp timestamp, kind string, status string, reason string, detail string, event_id string, sample_no long, "
+    "values map<string,double>, scores map<string,double>, diagnosed_class string, maximum_score double, alert_state string, "
+    "event_type string, from_state string, to_state string, fault_class string, invalid_features array<string>, "
+    "evidence array<struct<label:string,value:double,detail:string>>, versions map<string,string>"
 )
 FIELDS = [part.split()[0] for part in OUTPUT.split(", ")]
+SESSION = "last long, count long, epoch long, machine array<int>, at array<double>, held array<map<string,double>>"
+PENDING = "seen long, place long, names array<string>, values array<double>, units array<string>"
+TOP_RESIDUALS = 2  # of the evidence of a prediction
+MAX_EVIDENCE = 5
 
 
 @dataclass(frozen=True)
 class SessionConfig:
+    """``max_pending`` half-filled samples of an asset are kept; one more puts out the oldest as incomplete."""
+
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     timeout_seconds: float = 30.0
@@ -39,46 +52,89 @@ class SessionConfig:
     policy: hy.Policy | None = None
     healthy: str = "healthy"
     cadence: float = 10.0
+    versions: tuple[tuple[str, str], ...] = ()  # name and version of what a prediction was made with
 
 
 def new_state() -> dict:
-    return {"pending": [], "last": None, "count": 0, "window": [], "machine": list(hy.START)}
+    return {"pending": {}, "last": None, "count": 0, "epoch": 0, "window": [], "machine": list(hy.START)}
 
 
-def offer(state: dict, event: dict, now_ms: int, config: SessionConfig) -> list[dict]:
-    """Feed one reading (ts in microseconds) and return what it causes."""
+def ingest(state: dict, event: dict, now_ms: int, config: SessionConfig) -> list[dict]:
+    """Feed one reading (ts in microseconds) and return what it causes, with details."""
     ts, name, value, unit = event["ts"], event["measurement_type"], event["value"], event["unit"]
+    cause = event.get("event_id")
     if state["last"] is not None and ts <= state["last"]:
-        return [_reject(ts, "late")]
+        why = f"timestamp {iso(ts)} does not follow the asset's last processed sample {iso(state['last'])}"
+        return [_reject(ts, "late", why, cause)]
     out = []
-    pending = next((p for p in state["pending"] if p["ts"] == ts), None)
+    pending = state["pending"].get(ts)
     if pending is None:
         if len(state["pending"]) >= config.max_pending:
-            out.append(_reject(state["pending"].pop(0)["ts"], "incomplete_timeout"))
-        pending = {"ts": ts, "seen": now_ms, "values": {}, "units": {}}
-        state["pending"].append(pending)
+            oldest = next(iter(state["pending"]))
+            out.append(_incomplete(state, oldest, "evicted to stay within max_buffered_timestamps_per_asset; missing measurement(s): {}", config))
+        pending = state["pending"][ts] = {"seen": now_ms, "values": {}, "units": {}}
     if name in pending["values"]:
         if pending["values"][name] == value and pending["units"][name] == unit:
             return out
-        state["pending"].remove(pending)
-        return [*out, _reject(ts, "conflicting_duplicate")]
+        del state["pending"][ts]
+        why = f"measurement {name!r} conflicts with an already-buffered value for this asset/timestamp"
+        return [*out, _reject(ts, "conflicting_duplicate", why, cause)]
     pending["values"][name], pending["units"][name] = value, unit
     if all(m in pending["values"] for m in config.required):
-        state["pending"].remove(pending)
+        del state["pending"][ts]
         state["last"] = ts
         out.append(complete(state, ts, pending["values"], config))
     return out
 
 
+def timed_out(state: dict, now_ms: int, config: SessionConfig) -> list[dict]:
+    """Put out the half-filled samples whose time is over."""
+    gone = [ts for ts, p in state["pending"].items() if now_ms - p["seen"] >= config.timeout_seconds * 1000]
+    return [_incomplete(state, ts, "missing measurement(s) after timeout: {}", config) for ts in gone]
+
+
+def flushed(state: dict, config: SessionConfig) -> list[dict]:
+    """Put out all half-filled samples: no more input will come."""
+    return [_incomplete(state, ts, "missing measurement(s) at end of input: {}", config) for ts in list(state["pending"])]
+
+
+def reset(state: dict) -> None:
+    """Back to a cold start of warm-up and alert; half-filled samples and the last timestamp belong to the assembly and stay."""
+    state["count"], state["window"], state["machine"] = 0, [], list(hy.START)
+
+
+def offer(state: dict, event: dict, now_ms: int, config: SessionConfig) -> list[dict]:
+    """:func:`ingest` without causes and details."""
+    return [_plain(o) for o in ingest(state, event, now_ms, config)]
+
+
 def expire(state: dict, now_ms: int, config: SessionConfig) -> list[dict]:
-    limit = now_ms - config.timeout_seconds * 1000
-    gone = [p for p in state["pending"] if p["seen"] <= limit]
-    state["pending"] = [p for p in state["pending"] if p["seen"] > limit]
-    return [_reject(p["ts"], "incomplete_timeout") for p in gone]
+    """:func:`timed_out` without details."""
+    return [_plain(o) for o in timed_out(state, now_ms, config)]
+
+
+def _plain(outcome: dict) -> dict:
+    return {k: v for k, v in outcome.items() if k not in ("detail", "event_id")}
 
 
-def _reject(ts: int, reason: str) -> dict:
-    return {"ts": ts, "kind": "quality", "status": "rejected", "reason": reason}
+def iso(ts: int) -> str:
+    """ISO text of microseconds since 1970, in UTC."""
+    return _stamp(ts).isoformat()
+
+
+def _stamp(ts: int):
+    from datetime import datetime, timezone
+
+    return datetime.fromtimestamp(ts // 1_000_000, timezone.utc).replace(microsecond=ts % 1_000_000)
+
+
+def _reject(ts: int, reason: str, detail: str, event_id: str | None = None) -> dict:
+    return {"ts": ts, "kind": "quality", "status": "rejected", "reason": reason, "detail": detail, "event_id": event_id}
+
+
+def _incomplete(state: dict, ts: int, text: str, config: SessionConfig) -> dict:
+    held = state["pending"].pop(ts)["values"]
+    return _reject(ts, "incomplete_timeout", text.format(sorted(m for m in config.required if m not in held)))
 
 
 def complete(state: dict, ts: int, values: dict, config: SessionConfig) -> dict:
@@ -95,6 +151,8 @@ def complete(state: dict, ts: int, values: dict, config: SessionConfig) -> dict:
     usable = problem is None
     result["status"] = "valid_prediction" if usable else "insufficient_data"
     result["reason"] = problem
+    if not usable:
+        result["invalid_features"] = invalid_features(features, config.spec)
     if config.scorer is None:
         return {**result, "values": features}
     scores = config.scorer.score(features) if usable else [0.0] * len(config.scorer.classes)
@@ -103,7 +161,8 @@ def complete(state: dict, ts: int, values: dict, config: SessionConfig) -> dict:
     best = max(range(len(names)), key=lambda i: (scores[i], -i))
     if usable:
         result["scores"] = dict(zip(names, scores, strict=True))
-        result["diagnosed_class"] = names[best]
+        result["diagnosed_class"], result["maximum_score"] = names[best], scores[best]
+        result["versions"] = dict(config.versions)
     if config.policy is not None:
         qualifies = best != calm and scores[best] >= config.policy.entry_probability
         machine, event = hy.advance(
@@ -111,16 +170,41 @@ def complete(state: dict, ts: int, values: dict, config: SessionConfig) -> dict:
         )
         state["machine"] = list(machine)
         label = lambda c: names[calm] if c == hy.NONE else f"confirmed_{names[c]}"
-        pending = machine[0] == hy.NONE and machine[1] != hy.NONE
-        result["alert_state"] = "insufficient_data" if not usable else f"pending_{names[machine[1]]}" if pending else label(machine[0])
+        result["alert_state"] = label(machine[0])  # the machine's state: what is pending shows in the evidence
         if event is not None:
             kind, before, after = event
             result.update(
                 event_type=kind, from_state=label(before), to_state=label(after), fault_class=names[after if after != hy.NONE else before]
             )
+    if usable:
+        result["evidence"] = evidence(features, result, state["machine"], config)
     return result
 
 
+def evidence(features: dict, result: dict, machine: Sequence[int], config: SessionConfig) -> list[tuple]:
+    """(label, value, detail) of the two leading classes, the largest residuals and the alert's progress."""
+    ranked = sorted(result["scores"].items(), key=lambda p: (-p[1], p[0]))
+    items = [("top_class_probability", ranked[0][1], f"{ranked[0][0]} (diagnosed: {result['diagnosed_class']})")]
+    items += [("runner_up_class_probability", ranked[1][1], ranked[1][0])] if len(ranked) > 1 else []
+    residuals = sorted(((r.name, features[r.name]) for r in config.spec.residuals), key=lambda p: (-abs(p[1]), p[0]))
+    items += [(f"residual:{name}", value, "observed minus fixed healthy reference curve") for name, value in residuals[:TOP_RESIDUALS]]
+    if config.policy is not None:
+        confirmed, candidate, streak, exits = machine
+        names, policy = config.scorer.classes, config.policy
+        if confirmed != hy.NONE:
+            text = f"confirmed_{names[confirmed]}: exit_streak {exits}/{policy.exit_persistence} consecutive healthy-qualifying samples"
+            items.append(("alert_exit_progress", exits / policy.exit_persistence, text))
+        elif candidate != hy.NONE:
+            text = f"pending_{names[candidate]}: {streak}/{policy.entry_persistence} consecutive qualifying samples"
+            items.append(("alert_entry_progress", streak / policy.entry_persistence, text))
+    return items[:MAX_EVIDENCE]
+
+
+def invalid_features(features: dict, spec: FeatureSpec) -> list[str]:
+    """Names of the features of a full window that have no finite value, sorted."""
+    return sorted({r.name for r in spec.ratios if r.name not in features} | {n for n, v in features.items() if not math.isfinite(v)})
+
+
 def feature_values(window: Sequence, spec: FeatureSpec) -> tuple[dict, str | None]:
     """The batch feature row for the last sample of a full window, and its rejection reason."""
     times = [t for t, _ in window]
@@ -146,7 +230,7 @@ def feature_values(window: Sequence, spec: FeatureSpec) -> tuple[dict, str | Non
 
 
 class TelemetrySession(StatefulProcessor):
-    """State of one asset as one JSON value; timers drop samples that stay incomplete."""
+    """State of one asset: its session, and its half-filled samples by timestamp; timers put out what stays incomplete."""
 
     def __init__(self, config: SessionConfig, live: bool) -> None:
         self.config = config
@@ -154,53 +238,79 @@ class TelemetrySession(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "body string")
-
-    def _load(self) -> dict:
-        return json.loads(self.state.get()[0]) if self.state.exists() else new_state()
+        self.session = handle.getValueState("session", SESSION)
+        self.pending = handle.getMapState("pending", "ts long", PENDING)
+
+    def _load(self) -> tuple[dict, dict]:
+        """The state, and the half-filled samples as stored (timestamp -> number of readings)."""
+        state = new_state()
+        if self.session.exists():
+            last, count, epoch, machine, at, held = self.session.get()
+            state.update(last=last, count=count, epoch=epoch, machine=list(machine), window=[[t, dict(v)] for t, v in zip(at, held)])
+        for (ts,), (seen, _, names, values, units) in sorted(self.pending.iterator(), key=lambda item: item[1][1]):
+            state["pending"][ts] = {"seen": seen, "values": dict(zip(names, values)), "units": dict(zip(names, units))}
+        return state, {ts: len(p["values"]) for ts, p in state["pending"].items()}
+
+    def _store(self, state: dict, before: dict) -> None:
+        window = state["window"]
+        self.session.update((state["last"], state["count"], state["epoch"], list(state["machine"]), [t for t, _ in window], [v for _, v in window]))
+        for ts in before.keys() - state["pending"].keys():
+            self.pending.removeKey((ts,))
+        for place, (ts, p) in enumerate(state["pending"].items()):
+            names = list(p["values"])
+            self.pending.updateValue((ts,), (p["seen"], place, names, [p["values"][n] for n in names], [p["units"][n] for n in names]))
+            if self.live and ts not in before:
+                self.handle.registerTimer(int(p["seen"] + self.config.timeout_seconds * 1000))
 
     def _rows(self, asset_id: str, outcomes: list[dict]) -> Iterator[Row]:
-        from datetime import datetime, timezone
-
         for o in outcomes:
-            stamp = datetime.fromtimestamp(o["ts"] // 1_000_000, timezone.utc).replace(microsecond=o["ts"] % 1_000_000)
-            yield Row(**{f: asset_id if f == "asset_id" else stamp if f == "timestamp" else o.get(f) for f in FIELDS})
+            yield Row(**{f: asset_id if f == "asset_id" else _stamp(o["ts"]) if f == "timestamp" else o.get(f) for f in FIELDS})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        state = self._load()
+        state, before = self._load()
         now = timerValues.getCurrentProcessingTimeInMs() if self.live else 0
         outcomes: list[dict] = []
-        # readings of one asset in one micro-batch, in arrival order
-        for r in sorted(rows, key=lambda r: r["arrival"]):
-            outcomes += offer(state, {"ts": r["ts"], "measurement_type": r["measurement_type"], "value": r["value"], "unit": r["unit"]}, now, self.config)
-        self.state.update((json.dumps(state),))
-        if self.live and state["pending"] and not list(self.handle.listTimers()):
-            self.handle.registerTimer(int(now + self.config.timeout_seconds * 1000))
+        for r in sorted(rows, key=lambda r: (r["arrival"], r["op"] != "reset", r["measurement_type"] or "", r["value"] or 0.0, r["event_id"] or "")):
+            if r["epoch"] > state["epoch"]:
+                reset(state)
+                state["epoch"] = r["epoch"]
+            if r["op"] == "reset":
+                reset(state)
+            elif r["op"] == "flush":
+                outcomes += flushed(state, self.config)
+            else:
+                outcomes += ingest(state, r.asDict(), now, self.config)
+        self._store(state, before)
         yield from self._rows(key[0], outcomes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, now = self._load(), timerValues.getCurrentProcessingTimeInMs()
-        outcomes = expire(state, now, self.config)
-        self.state.update((json.dumps(state),))
-        if state["pending"]:
-            self.handle.registerTimer(int(now + self.config.timeout_seconds * 1000))
+        state, before = self._load()
+        outcomes = timed_out(state, timerValues.getCurrentProcessingTimeInMs(), self.config)
+        self._store(state, before)
         yield from self._rows(key[0], outcomes)
 
     def close(self) -> None:
         pass
 
 
-def session_stream(readings: DataFrame, config: SessionConfig, live: bool = False) -> DataFrame:
+def session_stream(readings: DataFrame, config: SessionConfig, live: bool = False, resets: Sequence[int] = ()) -> DataFrame:
     """Results, warm-up notices and quality rejections for a stream of valid readings.
 
-    ``readings`` need asset_id, timestamp, measurement_type, value, unit and ``arrival`` (for
-    example the source offset), which orders the readings of one micro-batch. ``live`` adds the
-    processing-time timeout of half-filled samples; it keeps the query asking for batches, so
-    replays that should end leave it off.
+    ``readings`` need asset_id, timestamp, measurement_type, value, unit and ``arrival`` (for example the source offset),
+    which orders the readings of one micro-batch, and may have ``event_id``. ``live`` adds the processing-time timeout of
+    half-filled samples; it keeps the query asking for batches, so replays that should end leave it off and send ``flush``.
+
+    Where ``readings`` have ``op``, rows with ``reset`` start the session of their asset anew, and ``flush`` tells that its
+    input has ended. ``resets`` are the arrivals at which all sessions start anew (a short list): each row carries the
+    number of those before it, and a session that sees a higher number than its own resets itself first.
     """
     readings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    given = lambda name, other: F.col(name) if name in readings.columns else other
+    past = [F.when(F.col("arrival") >= int(r), 1).otherwise(0) for r in resets]
     keyed = readings.select(
-        "asset_id", F.unix_micros("timestamp").alias("ts"), "measurement_type", "value", "unit", F.col("arrival").cast("long").alias("arrival")
+        "asset_id", given("op", F.lit("reading")).alias("op"), F.unix_micros("timestamp").alias("ts"), "measurement_type", "value", "unit",
+        given("event_id", F.lit(None)).cast("string").alias("event_id"), F.col("arrival").cast("long").alias("arrival"),
+        (sum(past[1:], past[0]) if past else F.lit(0)).cast("long").alias("epoch"),
     )
     return keyed.groupBy("asset_id").transformWithState(
         statefulProcessor=TelemetrySession(config, live),
@@ -227,11 +337,39 @@ def assemble_batch(readings: DataFrame, required: Sequence[str]) -> DataFrame:
     return grouped.select("asset_id", "timestamp", status.alias("status"), "values")
 
 
+def assemble_fold(readings: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Batch twin of the assembly, outcome by outcome, for samples whose readings arrive sample by sample.
+
+    One row per outcome: asset_id, timestamp, status (``complete``, ``late``, ``conflicting_duplicate`` or
+    ``incomplete_timeout``), and the sample's place among its outcomes. The readings of one sample are folded in the order
+    of arrival with their names in a map; a sample's readings are few (its measurements and their repeats).
+    """
+    reading = F.struct("arrival", "measurement_type", "value", "unit")
+    grouped = readings.groupBy("asset_id", "timestamp").agg(F.array_sort(F.collect_list(reading)).alias("_readings"))
+    empty = F.from_json(F.lit("{}"), "map<string,struct<value:double,unit:string>>")
+    start = F.struct(F.lit(False).alias("done"), empty.alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def step(state, r):
+        done, held = state["done"], state["held"]
+        known = F.map_contains_key(held, r["measurement_type"])
+        before = F.element_at(held, r["measurement_type"])
+        same = (before["value"] == r["value"]) & before["unit"].eqNullSafe(r["unit"])
+        fresh = F.struct(r["value"].alias("value"), r["unit"].alias("unit"))
+        added = F.map_concat(held, F.map_from_arrays(F.array(r["measurement_type"]), F.array(fresh)))
+        full = F.size(F.array_intersect(F.map_keys(added), F.array(*[F.lit(m) for m in required]))) == len(required)
+        event = F.when(done, "late").when(known & ~same, "conflicting_duplicate").when(~known & full, "complete")
+        after = F.when(done, held).when(known & same, held).when(known, empty).otherwise(added)
+        out = F.when(event.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(event)))
+        return F.struct((done | F.coalesce(event == "complete", F.lit(False))).alias("done"), after.alias("held"), out.alias("out"))
+
+    folded = grouped.select("asset_id", "timestamp", F.aggregate("_readings", start, step).alias("_s"))
+    rest = F.when(~F.col("_s.done") & (F.size("_s.held") > 0), F.array(F.lit("incomplete_timeout"))).otherwise(F.array().cast("array<string>"))
+    return folded.select("asset_id", "timestamp", F.posexplode(F.concat("_s.out", rest)).alias("place", "status"))
+
+
 def transitions_of(results: DataFrame) -> DataFrame:
     """Alert transitions of a result stream with ids that survive replays."""
     from sensorloom.functions.fault_rules import TRANSITIONS
-    from sensorloom.functions.scalar import name_uuid
-    from sensorloom.operators.corroboration import RESULT_NAMESPACE
 
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in TRANSITIONS.items()])
     identity = F.concat_ws(
@@ -239,17 +377,30 @@ def transitions_of(results: DataFrame) -> DataFrame:
     )
     return results.filter(F.col("event_type").isNotNull()).select(
         name_uuid(RESULT_NAMESPACE, identity).alias("event_id"), "asset_id", F.col("timestamp").alias("observed_at"),
-        kind.alias("transition_type"), "from_state", "to_state", "fault_class", F.array_max(F.map_values("scores")).alias("maximum_score"),
+        kind.alias("transition_type"), "from_state", "to_state", "fault_class", "maximum_score",
     )
 
 
-def quality_events(decoded: DataFrame, results: DataFrame) -> DataFrame:
-    """Malformed input and rejected samples as one stream of data-quality rows."""
-    malformed = decoded.filter(F.col("reject_reason").isNotNull()).select(
-        "asset_id", F.lit(None).cast("timestamp").alias("timestamp"), F.lit("malformed").alias("reason"), F.col("reject_reason").alias("detail")
+def quality_events(decoded: DataFrame | None, results: DataFrame) -> DataFrame:
+    """Malformed input and rejected samples as data-quality rows of four kinds, with ids that survive replays.
+
+    ``decoded`` are decoded events with their ``reject_reason``; late, conflicting and incomplete come from the session.
+    """
+    rows = results.filter(F.col("kind") == "quality").select("asset_id", "timestamp", "reason", "detail", "event_id")
+    if decoded is not None:
+        bad = decoded.filter(F.col("reject_reason").isNotNull())
+        rows = rows.unionByName(
+            bad.select(
+                "asset_id", F.lit(None).cast("timestamp").alias("timestamp"), F.lit("malformed").alias("reason"),
+                F.col("reject_reason").alias("detail"), "event_id",
+            )
+        )
+    text = lambda c: F.coalesce(c, F.lit(""))
+    identity = F.concat_ws(
+        "|", F.lit("telemetry_data_quality.v1"), text(F.col("asset_id")), text(F.unix_micros("timestamp").cast("string")), "reason", text(F.col("detail")),
+        text(F.col("event_id")),
     )
-    rejected = results.filter(F.col("kind") == "quality").select("asset_id", "timestamp", "reason", F.col("reason").alias("detail"))
-    return malformed.unionByName(rejected)
+    return rows.select(name_uuid(RESULT_NAMESPACE, identity).alias("quality_id"), "asset_id", "timestamp", "reason", "detail", F.col("event_id").alias("source_event_id"))
 
 
 def start_available(df: DataFrame, handle, checkpoint: str):
@@ -269,66 +420,12 @@ def fan_out(path: str):
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
         put(batch.filter(F.col("kind") == "result"), "results")
         put(transitions_of(batch), "transitions")
-        put(batch.filter(F.col("kind") == "quality").select("asset_id", "timestamp", "reason"), "quality")
+        put(quality_events(None, batch), "quality")
         batch.unpersist()
 
     return write
 
 
-def corroborate_batches(path: str, observations: DataFrame, seconds: float, schema: str | None = None):
-    """Micro-batch handler: validate transitions, skip known events, append fault evidence.
-
-    Evidence lands in one partition per batch; known events come from all other batches.
-    """
-    from sensorloom.operators import corroboration as co
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        valid = co.validate_transitions(batch).filter(F.col("reject_reason").isNull())
-        valid = valid.select("event_id", "asset_id", "observed_at", "transition_type", "fault_class")
-        existing = None
-        try:
-            existing = spark.read.parquet(f"{path}/evidence").filter(F.col("batch_id") != batch_id)
-        except Exception as missing:  # the first batch has no evidence table yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        evidence = co.fault_evidence(valid, observations, existing, seconds)
-        evidence.write.mode("overwrite").parquet(f"{path}/evidence/batch_id={batch_id}")
-
-    return write
-
-
-def incremental_rollup(readings: DataFrame, bucket: str, watermark: str) -> DataFrame:
-    """Hourly or daily rollup of a stream; the watermark bounds how late a reading may change a bucket."""
-    width = {"1h": "1 hour", "1d": "1 day"}[bucket]
-    grouped = readings.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", width), "asset_id", "measurement_type").agg(
-        F.avg("value").alias("avg_value"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.count(F.lit(1)).alias("sample_count"),
-        F.max_by("unit", F.struct("timestamp", "id")).alias("unit"),
-    )
-    return grouped.select(F.col("window.start").alias("bucket"), *[c for c in grouped.columns if c != "window"])
-
-
-def run_rollup(spark: SparkSession, readings: DataFrame, bucket: str, watermark: str, path: str) -> DataFrame:
-    """Drive :func:`incremental_rollup` over what is available and read the newest state of each bucket."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table/batch_id={batch_id}")
-
-    rolled = incremental_rollup(readings, bucket, watermark)
-    query = (
-        rolled.writeStream.outputMode("update").trigger(availableNow=True)
-        .option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write).start()
-    )
-    query.awaitTermination()
-    versions = spark.read.parquet(f"{path}/table")
-    columns = [c for c in rolled.columns if c not in ("bucket", "asset_id", "measurement_type")]
-    newest = versions.groupBy("bucket", "asset_id", "measurement_type").agg(F.max_by(F.struct(*columns), "batch_id").alias("_r"))
-    return newest.select("bucket", "asset_id", "measurement_type", "_r.*")
-
-
 def late_rows(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str], chunk, time: str) -> DataFrame:
     """Batch form of the strictly-increasing-time rule: ``late`` when time does not exceed all earlier arrivals."""
     from sensorloom.operators import series
