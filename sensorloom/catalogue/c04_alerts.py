@@ -318,10 +318,18 @@ relation(
     ("search",),
 )
 def t04(spark, sf):
+    return search_figures(policy_search(spark, sf))
+
+
+def policy_search(spark, sf, grid=None, gap=False, baseline=None, any_fault=False):
+    """Search over the validation runs; ``grid`` defaults to that of the plain search."""
     rows = evaluated(spark, sf).filter(F.col("split") == "validation")
-    grid = alerts.policy_grid()
+    grid = alerts.policy_grid() if grid is None else grid
     runs = wh.runs(spark, sf).filter(F.col("split") == "validation").withColumnRenamed("class_label", "fault_class")
-    out = alerts.search_policies(folded(spark, sf, policies=grid, rows=rows), runs, grid)
+    return alerts.search_policies(folded(spark, sf, gap=gap, policies=grid, rows=rows), runs, grid, baseline, gap_aware=gap, check_any_fault=any_fault)
+
+
+def search_figures(out):
     return out.select(
         "policy_id", "correct_class_missed", "median_latency", F.round("events_per_healthy_hour", 6).alias("events_per_healthy_hour"),
         "healthy_runs_with_alert", F.round("mean_duration", 4).alias("mean_duration"), "rejection", "chosen",
@@ -339,3 +347,51 @@ def j16(spark, sf):
     return events.groupBy("policy_id", "run_id").agg(
         F.count_if(F.col("event_type") == "new_alert").alias("new_alerts"), F.count_if(F.col("event_type") == "cleared").alias("cleared")
     )
+
+
+def searched(name: str, grid: str, fold: str) -> None:
+    """Relations of a search over the grid relation ``grid``, gap-aware, with the any-fault gate and a baseline latency of 100 s."""
+    relation(
+        fold,
+        "RECURSIVE_ " + fold_sql("ep", "en", "xp", "xn", valid="s.valid", source="validation_rows", grid=grid).replace("_self_", fold).replace("s.confidence >= ep", "s.confidence >= f.ep"),
+        "validation_rows",
+        grid,
+    )
+    relation(
+        name,
+        f"""WITH ev AS (SELECT pid, run_id, tick AS pos, elapsed, ev AS event_type, CASE WHEN conf = '' THEN before ELSE conf END AS fault_class FROM {fold} WHERE ev IS NOT NULL),
+         seg AS (SELECT pid, run_id, count(*) FILTER (valid) AS rows, max(elapsed) + 10.0 AS segment_end FROM {fold} WHERE part GROUP BY 1, 2),
+         ep AS (SELECT e.pid, e.run_id, coalesce(nxt, segment_end) - elapsed AS duration FROM (SELECT *, lead(elapsed) OVER (PARTITION BY pid, run_id ORDER BY pos) AS nxt FROM (
+            SELECT e.* FROM ev e JOIN runs r USING (run_id) WHERE r.fault_start IS NULL OR e.elapsed < r.fault_start)) e JOIN seg USING (pid, run_id) WHERE event_type <> 'cleared'),
+         det AS (SELECT g.pid, r.run_id, min(e.elapsed) FILTER (e.elapsed >= r.fault_start AND event_type <> 'cleared' AND e.fault_class = r.class_label) - any_value(r.fault_start) AS latency,
+            count(*) FILTER (e.elapsed >= r.fault_start AND event_type <> 'cleared') AS seen
+            FROM {grid} g CROSS JOIN (SELECT * FROM runs WHERE fault_start IS NOT NULL AND split = 'validation') r LEFT JOIN ev e ON e.pid = g.pid AND e.run_id = r.run_id GROUP BY 1, 2),
+         d AS (SELECT pid, count(*) FILTER (latency IS NULL) AS missed, count(*) FILTER (seen = 0) AS missed_any, quantile_cont(latency, 0.5) AS median_latency FROM det GROUP BY 1),
+         f AS (SELECT pid, sum(rows) * 10.0 / 3600.0 AS hours FROM seg GROUP BY 1),
+         x AS (SELECT pid, count(*) AS episodes, avg(duration) AS mean_duration, count(DISTINCT run_id) AS runs FROM ep GROUP BY 1)
+         SELECT g.pid, d.missed, d.median_latency, round(coalesce(x.episodes, 0) / f.hours, 9)::DOUBLE AS rate, coalesce(x.runs, 0) AS runs, round(coalesce(x.mean_duration, 0), 9)::DOUBLE AS mean_duration,
+           CASE WHEN d.missed_any > 0 THEN 'any_fault_missed' WHEN d.missed > 1 THEN 'correct_class_missed' WHEN d.median_latency > 130 THEN 'latency' END AS rejection, en + xn AS complexity
+         FROM {grid} g JOIN d USING (pid) JOIN f USING (pid) LEFT JOIN x USING (pid)""",
+        fold,
+        "runs",
+        grid,
+    )
+
+
+relation(
+    "robust_grid",
+    "SELECT row_number() OVER () - 1 AS pid, ep, en, xp, xn FROM (SELECT * FROM (VALUES (0.50::DOUBLE), (0.55), (0.60), (0.65), (0.70)) a(ep), (VALUES (3), (4), (5)) b(en), (VALUES (0.45::DOUBLE), (0.50), (0.55), (0.60)) c(xp), (VALUES (2), (3)) d(xn) ORDER BY ep, en, xp, xn)",
+)
+searched("robust_search", "robust_grid", "fold_robust")
+
+
+@query(
+    "T04_select_robust_policy",
+    """SELECT pid::INTEGER AS policy_id, missed AS correct_class_missed, median_latency, round(rate, 6) AS events_per_healthy_hour, runs AS healthy_runs_with_alert, round(mean_duration, 4) AS mean_duration, rejection,
+       rejection IS NULL AND row_number() OVER (ORDER BY rejection IS NOT NULL, rate, runs, mean_duration, median_latency NULLS LAST, complexity, pid) = 1 AS chosen FROM robust_search""",
+    ("robust_search",),
+)
+def t04r(spark, sf):
+    """The robust search: 120 candidates, gaps freeze the machine, no missed fault at all, and latency against a baseline."""
+    baseline = spark.range(1).select(F.lit(100.0).alias("median_latency"))
+    return search_figures(policy_search(spark, sf, alerts.robust_grid(), gap=True, baseline=baseline, any_fault=True))

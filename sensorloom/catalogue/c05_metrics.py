@@ -318,6 +318,43 @@ def a29(spark, sf):
     return r9(out, *[c for c in out.columns if c.endswith(("coverage", "rate", "fraction"))])
 
 
+@query(
+    "A29_availability_counts",
+    f"""WITH r AS (SELECT *, coalesce({STAGE}, 'not_in_fault_window') AS stage FROM diagnosed_rows WHERE NOT valid)
+        SELECT 'reason' AS kind, 'near_zero_denominator' AS name, count(*) AS rows FROM r HAVING count(*) > 0 UNION ALL SELECT 'class', true_class, count(*) FROM r GROUP BY 2
+        UNION ALL SELECT 'stage', stage, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'asset', CAST(run_id AS VARCHAR), count(*) FROM r GROUP BY 2""",
+    ("diagnosed_rows",),
+)
+def a29c(spark, sf):
+    reasons = F.when(~F.col("valid"), F.array(F.lit("near_zero_denominator"))).otherwise(F.array())
+    rows = staged(spark, sf).withColumns({"reason_codes": reasons, "class_label": F.col("true_class"), "asset_id": F.col("run_id")})
+    return metrics.availability_counts(rows)
+
+
+@query(
+    "A29_longest_gap",
+    """SELECT max(n) AS longest_streak_rows, max(n) * 10.0::DOUBLE AS longest_streak_seconds FROM (SELECT count(*) AS n FROM (
+       SELECT run_id, tick - row_number() OVER (PARTITION BY run_id ORDER BY tick) AS g FROM diagnosed_rows WHERE NOT valid) GROUP BY run_id, g)""",
+    ("diagnosed_rows",),
+)
+def a29g(spark, sf):
+    return metrics.longest_gap(staged(spark, sf), ["run_id"])
+
+
+@query(
+    "A30_rejection_counts",
+    """SELECT split AS cohort, kind, name, count(*) AS rows FROM samples, (VALUES ('invalid_feature_names', 'price_per_discount'), ('reason_codes', 'near_zero_denominator')) t(kind, name)
+       WHERE l_discount < 0.01 GROUP BY ALL""",
+    ("samples",),
+)
+def a30c(spark, sf):
+    from sensorloom.catalogue.c06_features import SPEC
+    from sensorloom.operators.features import with_point_features
+
+    rows = with_point_features(wh.samples(spark, sf), SPEC)
+    return metrics.rejection_counts(rows.withColumnRenamed("split", "cohort"), by=["cohort"])
+
+
 @query(
     "A30_rejection_summary",
     """SELECT split AS cohort, eligible_rows, rejected_rows, round(f, 9) AS rejection_fraction, affected_runs, row_number() OVER (ORDER BY f DESC, split)::INTEGER AS rank FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.catalogue.registry import query, relation
-from sensorloom.operators import features, joins, series
+from sensorloom.operators import features, joins, metrics, series
 from sensorloom.operators.features import FeatureSpec, Ratio, Residual
 from sensorloom.sources import dataset
 from sensorloom.sources import warehouse as wh
@@ -381,3 +381,15 @@ def s11(spark, sf):
 @query("S11_file_manifest")
 def s11f(spark, sf):
     return dataset.file_manifest(spark, exported(spark, sf))
+
+
+@query(
+    "S11_rejections",
+    """SELECT kind, name, count(*) AS rows FROM feature_rows, (VALUES ('invalid_feature_names', 'price_per_discount'), ('reason_codes', 'near_zero_denominator')) t(kind, name) WHERE NOT valid GROUP BY ALL""",
+    ("feature_rows",),
+)
+def s11r(spark, sf):
+    """Reasons and features of the rejections table, as the manifest counts them."""
+    path = dataset.scratch_dir(spark) + "/features"
+    dataset.write_features(path, built(spark, sf), features.feature_columns(SPEC), KEYS)
+    return metrics.rejection_counts(spark.read.parquet(f"{path}/rejections"))

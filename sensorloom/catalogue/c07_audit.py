@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sensorloom.catalogue.c04_alerts import evaluated
 from sensorloom.catalogue.c06_features import KEYS, SPEC, built, exported, fault_runs, long_tables, truth
 from sensorloom.catalogue.registry import query, relation
-from sensorloom.operators import audit, joins, metrics, series
-from sensorloom.sources import dataset
+from sensorloom.lineage import cut_lineage
+from sensorloom.operators import audit, fingerprints, joins, metrics, series
+from sensorloom.sources import dataset, files
 from sensorloom.sources import warehouse as wh
 
 SIGNALS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -663,3 +664,110 @@ def q21(spark, sf):
         F.col("c_mktsegment").alias("cohort"), F.col("c_nationkey").alias("model_hash"), F.col("c_mktsegment").alias("policy_hash")
     )
     return audit.cohort_compatibility(cohorts)
+
+
+FILE_COLUMNS = [n for n, _, _ in dataset.TELEMETRY if n not in ("dataset_id", "value", "asset_id")]
+
+
+@query(
+    "Q01_file_schema",
+    "SELECT * FROM (VALUES ('value', 'wrong_type'), ('asset_id', 'missing'), ('note', 'undeclared'), ('unit', 'wrong_nullability'), "
+    + ", ".join(f"('{n}', 'ok')" for n in FILE_COLUMNS)
+    + ') t("column", status)',
+)
+def q01f(spark, sf):
+    """Files written with a unit that may be null, values as text, no asset and a column of their own, against the declared schema."""
+    path = dataset.scratch_dir(spark) + "/telemetry"
+    telemetry, _ = long_tables(spark, sf)
+    whole = dataset.conform(telemetry, dataset.TELEMETRY).drop("dataset_id", "asset_id")
+    whole.withColumns({"unit": F.when(F.col("observation_id") != "", F.col("unit")), "value": F.col("value").cast("string"), "note": F.lit("x")}).write.parquet(path)
+    declared = [d for d in dataset.TELEMETRY if d[0] != "dataset_id"]
+    typed = audit.schema_status(spark, "telemetry", spark.read.parquet(path).schema, declared).drop("table")
+    return typed.unionByName(audit.nullability_status(files.footer_columns(spark, path), declared))
+
+
+@query("Q04_file_tree", "SELECT * FROM (VALUES ('content', 1), ('missing', 1), ('size', 1), ('unlisted', 1)) t(problem, files)")
+def q04t(spark, sf):
+    """A manifest written first; then one file changes a byte, one grows, one goes and one comes."""
+    path = exported(spark, sf)
+    files.write_manifest(spark, path, 1 << 16)
+    names = [r["path"] for r in files.listing(spark, path).filter(F.col("name").endswith(".parquet")).orderBy(F.desc("size_bytes"), "path").limit(3).collect()]
+    for kind, name in zip(("content", "size", "missing"), names):
+        store, place = files.filesystem(name)
+        with store.open_input_stream(place) as stream:
+            data = bytearray(stream.read())
+        if kind == "missing":
+            store.delete_file(place)
+            continue
+        data[len(data) // 2] ^= 1
+        with store.open_output_stream(place) as out:
+            out.write(bytes(data) if kind == "content" else bytes(data) + b"x")
+    with store.open_output_stream(place.rsplit("/", 1)[0] + "/later.parquet") as out:
+        out.write(b"PAR1")
+    return files.verify_manifest(spark, path).groupBy("problem").agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+
+@query(
+    "Q06_declared_splits",
+    """WITH m AS (SELECT run_id, split AS derived, CASE WHEN run_id % 13 = 0 THEN 'test' ELSE split END AS split FROM runs),
+       d AS (SELECT derived AS split, count(*) AS declared FROM m GROUP BY 1), a AS (SELECT split, count(*) AS actual FROM m GROUP BY 1)
+       SELECT 'count:' || split AS "check", declared, actual FROM d FULL JOIN a USING (split) WHERE declared <> actual
+       UNION ALL SELECT 'derived', count(*), count(*) FILTER (split <> derived) FROM m""",
+    ("runs",),
+)
+def q06d(spark, sf):
+    """A membership in which some runs were moved to the test split, against the declared counts and the split derived again."""
+    runs = wh.runs(spark, sf)
+    moved = runs.withColumn("split", F.when(F.col("run_id") % 13 == 0, "test").otherwise(F.col("split")))
+    declared = runs.groupBy("split").agg(F.count(F.lit(1)).alias("declared"))
+    counts = audit.split_count_mismatches(moved, declared).select(F.concat(F.lit("count:"), "split").alias("check"), "declared", "actual")
+    wrong = audit.derived_split_mismatches(moved, runs).agg(F.count(F.lit(1)).alias("actual"))
+    whole = runs.agg(F.lit("derived").alias("check"), F.count(F.lit(1)).alias("declared")).crossJoin(wrong)  # one row each
+    return counts.unionByName(whole)
+
+
+@query(
+    "Q19_fingerprints",
+    """SELECT * FROM (VALUES ('cell', 'content', ''), ('cell', 'cells', 'l_quantity'), ('doubled', 'rows', ''), ('doubled', 'keys', ''), ('doubled', 'content', ''),
+       ('swapped', 'content', ''), ('swapped', 'cells', 'l_tax'), ('swapped', 'cells', 'l_discount'), ('order', 'order', 'l_tax'), ('order', 'order', 'l_discount')) t(variant, "check", "column")
+       UNION ALL SELECT 'doubled', 'cells', unnest(['run_id', 'tick', 'l_quantity', 'l_discount', 'l_tax'])""",
+)
+def q19f(spark, sf):
+    """Fingerprints of a training table before and after one cell changes, a row is doubled, and columns swap values or places."""
+    keys, columns = ["run_id", "tick"], ["run_id", "tick", "l_quantity", "l_discount", "l_tax"]
+    rows = wh.samples(spark, sf).select(*columns)
+    one = (F.col("run_id") == 1) & (F.col("tick") == 7)
+    variants = {
+        "same": rows.repartition(7, "tick"),
+        "cell": rows.withColumn("l_quantity", F.when(one, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))),
+        "doubled": rows.unionByName(rows.filter(one)),
+        "swapped": rows.select("run_id", "tick", "l_quantity", F.col("l_tax").alias("l_discount"), F.col("l_discount").alias("l_tax")),
+        "order": rows.select("run_id", "tick", "l_quantity", "l_tax", "l_discount"),
+    }
+    declared = cut_lineage(fingerprints.merged(fingerprints.fingerprint(rows.filter("run_id <= 40"), keys).unionByName(fingerprints.fingerprint(rows.filter("run_id > 40"), keys))))
+    parts = []
+    for name, changed in variants.items():
+        actual = cut_lineage(fingerprints.fingerprint(changed, keys))
+        found = fingerprints.differences(declared, actual).select(F.lit(name).alias("variant"), "check", "column")
+        parts.append(found.filter("NOT (variant = 'order' AND check = 'content')"))  # the row hash follows the order of columns
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(
+    "Q19_key_alignment",
+    """SELECT * FROM (VALUES ('equal', false, false), ('one_less', true, true), ('one_other', false, true)) t(variant, rows, keys)""",
+)
+def q19k(spark, sf):
+    """Features against labels: the same keys in another order, one label less, and one label of another key."""
+    rows = wh.samples(spark, sf).select("run_id", "tick")
+    one = (F.col("run_id") == 1) & (F.col("tick") == 7)
+    variants = {
+        "equal": rows.repartition(5, "tick"),
+        "one_less": rows.filter(~one),
+        "one_other": rows.withColumn("tick", F.when(one, F.col("tick") + 100_000).otherwise(F.col("tick"))),
+    }
+    parts = [fingerprints.misaligned_keys(rows, other, ["run_id", "tick"]).select(F.lit(name).alias("variant"), "rows", "keys") for name, other in variants.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -248,6 +248,19 @@ def d24p(spark, sf):
     return r8(out, ["pilot_drop", "noise_gain", "combined_gain"]).drop("pilot_rate", "noise_rate")
 
 
+@query(
+    "D24_no_survivor",
+    f"""SELECT count(*) AS candidates, 0::BIGINT AS survivors, '{cohorts.POLICY_DECISIONS['insufficient']}' AS decision, '{cohorts.NO_SURVIVOR}' AS reason FROM search WHERE missed >= 0""",
+    ("search",),
+)
+def d24n(spark, sf):
+    """A search in which every candidate is rejected: the baseline was faster than any of them by more than the tolerance."""
+    from sensorloom.catalogue.c04_alerts import policy_search
+
+    impossible = spark.range(1).select(F.lit(-1e6).alias("median_latency"))
+    return cohorts.policy_promotion(policy_search(spark, sf, baseline=impossible), promotion_rows(spark, sf))
+
+
 @query(
     "T05_best_trial",
     """SELECT c_mktsegment AS feature_group, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS trial, max(c_acctbal) AS score FROM customer GROUP BY 1""",

@@ -21,6 +21,10 @@ ENTRY_PROBABILITIES = (0.40, 0.50, 0.60, 0.70)
 ENTRY_PERSISTENCE = (2, 3, 4)
 EXIT_PROBABILITIES = (0.50, 0.60, 0.70)
 EXIT_PERSISTENCE = (2, 3)
+ROBUST_ENTRY_PROBABILITIES = (0.50, 0.55, 0.60, 0.65, 0.70)
+ROBUST_ENTRY_PERSISTENCE = (3, 4, 5)
+ROBUST_EXIT_PROBABILITIES = (0.45, 0.50, 0.55, 0.60)
+ROBUST_EXIT_PERSISTENCE = (2, 3)
 MAX_MISSED_CORRECT = 1
 MAX_MISSED_ANY = 0
 LATENCY_TOLERANCE_SECONDS = 30.0
@@ -28,6 +32,11 @@ ROW_SEQUENCE_PERSISTENCE = 3
 LATENCY_LIMITS = (30, 60, 120, 240)
 
 
+def robust_grid() -> list[hy.Policy]:
+    """Candidates of the robust search."""
+    return policy_grid(ROBUST_ENTRY_PROBABILITIES, ROBUST_ENTRY_PERSISTENCE, ROBUST_EXIT_PROBABILITIES, ROBUST_EXIT_PERSISTENCE)
+
+
 def policy_grid(
     entry_p=ENTRY_PROBABILITIES, entry_n=ENTRY_PERSISTENCE, exit_p=EXIT_PROBABILITIES, exit_n=EXIT_PERSISTENCE
 ) -> list[hy.Policy]:

@@ -42,19 +42,40 @@ def schema_status(spark, name: str, actual, declared) -> DataFrame:
     """One row per declared or extra column: ok, missing, undeclared, wrong_order, wrong_type."""
     have = {f.name: (i, f.dataType.simpleString()) for i, f in enumerate(actual.fields)}
     names = [n for n, _, _ in declared]
+    there, expected = [n for n in have if n in names], [n for n in names if n in have]
     rows = []
-    for i, (column, kind, _) in enumerate(declared):
+    for column, kind, _ in declared:
         if column not in have:
             status = "missing"
         elif have[column][1] != kind:
             status = "wrong_type"
         else:
-            status = "ok" if [n for n in have if n in names].index(column) == i else "wrong_order"
+            status = "ok" if there.index(column) == expected.index(column) else "wrong_order"
         rows.append((name, column, status))
     rows += [(name, column, "undeclared") for column in have if column not in names]
     return spark.createDataFrame(rows, "table string, column string, status string")
 
 
+def nullability_status(footers: DataFrame, declared) -> DataFrame:
+    """(column, status) of declared columns that the files' footers call nullable where none may be, or the other way round."""
+    said = footers.sparkSession.createDataFrame([(n, nullable) for n, _, nullable in declared], "column string, declared boolean")
+    odd = footers.join(said, "column").filter(F.col("nullable") != F.col("declared"))
+    return odd.select("column", F.lit("wrong_nullability").alias("status")).distinct()
+
+
+def split_count_mismatches(membership: DataFrame, declared: DataFrame) -> DataFrame:
+    """(split, declared, actual) where the manifest's number of runs differs from the membership's."""
+    actual = membership.groupBy("split").agg(F.count_distinct("run_id").alias("actual"))
+    joined = declared.join(actual, "split", "full_outer").fillna({"declared": 0, "actual": 0})
+    return joined.filter(F.col("declared") != F.col("actual"))
+
+
+def derived_split_mismatches(membership: DataFrame, derived: DataFrame) -> DataFrame:
+    """Runs whose split differs from the one derived again, or that one of the two does not know."""
+    said = derived.select("run_id", F.col("split").alias("derived"))
+    return membership.select("run_id", "split").join(said, "run_id", "full_outer").filter(~F.col("split").eqNullSafe(F.col("derived")))
+
+
 def row_count_mismatches(actual: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     """Keys whose row count differs from the declared one."""
     joined = declared.join(actual, key, "full_outer")

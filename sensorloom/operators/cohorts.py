@@ -51,6 +51,10 @@ MODEL_DECISIONS = {
     "insufficient": "KEEP ORIGINAL MODEL — ROBUSTNESS GAINS INSUFFICIENT",
     "promote": "PROMOTE ROBUST MODEL",
 }
+NO_SURVIVOR = (
+    "no candidate policy in the search grid survived the validation rejection rule (zero any-fault misses, at most one correct-class miss,"
+    " bounded latency degradation) — see robust_policy_search.json"
+)
 POLICY_DECISIONS = {
     "regression": "KEEP ORIGINAL MODEL — ID OPERATIONAL REGRESSION",
     "collapse": "NO SYSTEM MEETS PROMOTION CRITERIA",
@@ -276,6 +280,20 @@ def hot_start_note(per_class: DataFrame, confusion: DataFrame, healthy: str, sus
     )
 
 
+def policy_promotion(search: DataFrame, comparison: DataFrame, rules: Promotion = Promotion(), names=("pilot", "high_noise", "combined_ood_v1")) -> DataFrame:
+    """The decision on a searched policy, with its reason: where no candidate survived, nothing is compared and the policy is kept.
+
+    ``search`` has a row per candidate with ``rejection`` (null: survived); ``comparison`` as for :func:`promotion`.
+    """
+    survivors = search.agg(F.count_if(F.col("rejection").isNull()).alias("survivors"), F.count(F.lit(1)).alias("candidates"))
+    out = promotion(comparison, rules, names, POLICY_DECISIONS).crossJoin(survivors)  # one row each
+    none = F.col("survivors") == 0
+    return out.select(
+        "candidates", "survivors", F.when(none, POLICY_DECISIONS["insufficient"]).otherwise(F.col("decision")).alias("decision"),
+        F.when(none, NO_SURVIVOR).alias("reason"),
+    )
+
+
 def promotion(
     comparison: DataFrame, rules: Promotion = Promotion(), names=("pilot", "high_noise", "combined_ood_v1"), decisions=MODEL_DECISIONS
 ) -> DataFrame:

@@ -406,9 +406,33 @@ def rejection_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rejection_fraction"), *by)))
 
 
-def rejection_counts(rows: DataFrame, column: str) -> DataFrame:
-    """Occurrences per reason code or feature name."""
-    return rows.select(F.explode(column).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+def rejection_counts(rows: DataFrame, columns: Sequence[str] = ("reason_codes", "invalid_feature_names"), by: Sequence[str] = ()) -> DataFrame:
+    """(kind, name, rows): occurrences of every reason code and feature name, a rejected row counting once for each it has."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("array<string>").alias("names")) for c in columns])
+    each = rows.select(*by, F.explode(kinds).alias("_k")).select(*by, "_k.kind", F.explode("_k.names").alias("name"))
+    return each.groupBy(*by, "kind", "name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def availability_counts(rows: DataFrame) -> DataFrame:
+    """(kind, name, rows) of the rejected rows: by reason code, class, stage of the fault and asset.
+
+    ``rows`` carry valid, reason_codes, class_label, stage and asset_id.
+    """
+    bad = rows.filter(~F.col("valid"))
+    named = {"class": F.col("class_label"), "stage": F.coalesce("stage", F.lit("not_in_fault_window")), "asset": F.col("asset_id").cast("string")}
+    kinds = [F.struct(F.lit("reason").alias("kind"), F.col("reason_codes").cast("array<string>").alias("names"))]
+    kinds += [F.struct(F.lit(k).alias("kind"), F.array(c).cast("array<string>").alias("names")) for k, c in named.items()]
+    each = bad.select(F.explode(F.array(*kinds)).alias("_k")).select("_k.kind", F.explode("_k.names").alias("name"))
+    return each.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def longest_gap(rows: DataFrame, keys: Sequence[str], cadence: float = 10.0) -> DataFrame:
+    """One row: the longest run of rejected rows one cadence apart in any series, in rows and in seconds."""
+    from sensorloom.operators import alerts
+
+    streaks = alerts.longest_streak(rows.filter(~F.col("valid")).select(*keys, "elapsed"), keys, cadence=cadence)
+    longest = F.coalesce(F.max("longest_streak"), F.lit(0)).cast("long")
+    return streaks.agg(longest.alias("longest_streak_rows"), (longest * F.lit(cadence)).alias("longest_streak_seconds"))
 
 
 # --- thresholds, histograms, splits ----------------------------------------------

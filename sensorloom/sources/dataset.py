@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.lineage import shared_folder
@@ -36,12 +36,20 @@ GROUND_TRUTH = (
 SPLIT_NAMES = ("train", "validation", "test")
 
 
+def required(name: str, kind: str) -> Column:
+    """A column that Parquet writes as required; a null fails the write."""
+    value = F.col(name).cast(kind)
+    broken = F.raise_error(F.lit(f"null in the required column {name}")).cast(kind)
+    never = {"string": F.lit(""), "double": F.lit(0.0), "boolean": F.lit(False), "timestamp": F.timestamp_seconds(F.lit(0))}[kind]
+    return F.coalesce(F.when(value.isNull(), broken).otherwise(value), never)
+
+
 def conform(df: DataFrame, declared) -> DataFrame:
-    """Select and cast the declared columns in order; a missing column is an error."""
+    """Select and cast the declared columns in order; a missing column, or a null where none may be, is an error."""
     missing = [n for n, _, _ in declared if n not in df.columns]
     if missing:
         raise ValueError(f"missing declared columns: {missing}")
-    return df.select(*[F.col(n).cast(t).alias(n) for n, t, _ in declared])
+    return df.select(*[(F.col(n).cast(t) if nullable else required(n, t)).alias(n) for n, t, nullable in declared])
 
 
 def write_dataset(path: str, telemetry: DataFrame, ground_truth: DataFrame, runs: DataFrame, mode: str = "error") -> None:
