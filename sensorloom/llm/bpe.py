@@ -19,11 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorloom.llm.words import forgetting, worker_cache
+
 # The splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SLICE_CHARS = 1 << 20  # a longer text is encoded in slices, cut where no word can span
-CACHE_CHUNKS = 1 << 19  # distinct chunks kept before the cache starts anew
+CACHE_CHUNKS = 1 << 17  # distinct chunks kept before the cache starts anew,
+CACHE_BYTES = 48 << 20  # or about as many bytes
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -39,10 +42,12 @@ class _Numbers(dict):
 
     def __init__(self):
         self.pending: list[str] = []
+        self.held = 0  # bytes, estimated
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
         self.pending.append(chunk)
+        self.held += 3 * len(chunk) + 220
         return number
 
 
@@ -88,14 +93,15 @@ class Encoder:
         self.n_ids = max(pieces) + 1
         self.bytes_flat, self.bytes_start, self.bytes_len = self._table([pieces.get(i, b"") for i in range(self.n_ids)])
         self.text_flat, self.text_start, self.text_len = self._table([b"%d," % i for i in range(self.n_ids)])
-        self._forget()
+        self.clear()
 
     @staticmethod
     def _table(entries: list[bytes]):
         lengths = np.array([len(e) for e in entries], np.int64)
         return np.frombuffer(b"".join(entries), np.uint8), np.cumsum(lengths) - lengths, lengths
 
-    def _forget(self):
+    def clear(self):
+        """Start the cache of chunks anew."""
         self.numbers = _Numbers()
         self.flat, self.starts, self.lengths, self.used = np.empty(1 << 16, np.uint16 if self.n_ids <= 65536 else np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
@@ -215,8 +221,8 @@ class Encoder:
         ids = self.flat[_spread(self.starts[index], lengths)] if len(index) else self.flat[:0].copy()
         ends = np.r_[0, np.cumsum(lengths)]
         counts = np.diff(ends[np.r_[0, np.cumsum(np.array(per_text, np.int64))]])
-        if len(self.numbers) > CACHE_CHUNKS:
-            self._forget()
+        if len(self.numbers) > CACHE_CHUNKS or self.numbers.held > CACHE_BYTES:
+            self.clear()
         return ids, counts
 
     def encode_batches(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -274,16 +280,9 @@ class Encoder:
         return self.text_flat[_spread(self.text_start[ids], self.text_len[ids])].tobytes()[:-1]
 
 
-_LOADED: dict[int, Encoder] = {}
-
-
 def loaded(content: bytes) -> Encoder:
-    """The worker's encoder for this vocabulary; one at a time is kept."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Encoder(content)
-    return _LOADED[key]
+    """The worker's encoder for this vocabulary."""
+    return worker_cache(("encoder", hash(content)), lambda: Encoder(content))
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -313,7 +312,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 done += len(counts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(forgetting(run), f"id {kind}, ids array<int>, decoded string")
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,5 +343,5 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        forgetting(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sensorloom.llm import bpe
+from sensorloom.llm.words import forgetting
 
 LENGTH_BITS = 12  # lengths with the same leading part share one window of the suffix sums
 
@@ -30,7 +31,7 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
             lengths, n = np.unique(counts, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(lengths), pa.array(n)], names=["length", "n_docs"])
 
-    found = docs.select(docs[text_col].alias("text")).mapInArrow(run, "length long, n_docs long")
+    found = docs.select(docs[text_col].alias("text")).mapInArrow(forgetting(run), "length long, n_docs long")
     return found.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

@@ -8,9 +8,10 @@ counts; candidates that can reach the threshold within ``MARGIN`` are confirmed
 
 A band's bucket is never expanded into its pairs. First each member meets the bucket's least and greatest member,
 and the most promising of all its partners is confirmed. Buckets that then still hold several components go on in
-blocks of at most ``MEMBERS`` members: a task compares the members of two blocks in place, first by their packed bits
-and then, where some pair across components is promising, by their full sets, and sends only links that join
-components. So every promising pair across components is tested on full sets, and what is sent is linear in the members.
+blocks of about ``MEMBERS`` members and ``SHINGLES`` shingles: a task compares the members of two blocks in place, first
+by their packed bits and then, where some pair across components is promising, by their full sets, and sends only links
+that join components. Members of a bucket's largest component need not meet each other; they are sent once per block of
+the others, and the others once per block. So every promising pair across components is tested on full sets.
 
 Null, empty and word-less texts have an empty set and are linked with nothing. Repeated rows stay rows of their own;
 a row with a null id is linked with nothing, has a null component and is kept. An empty table gives no rows.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.lineage import stored
 from sensorloom.llm.graph import components
-from sensorloom.llm.words import ODD, mixed, shingle_set
+from sensorloom.llm.words import ODD, forgetting, mixed, shingle_set
 
 ROWS, BANDS = 4, 28  # a pair of similarity 0.8 shares no band with a chance of 4e-7
 PERMUTATIONS = ROWS * BANDS
@@ -35,7 +36,8 @@ LANES = 32  # kept minima per 64-bit word
 WORDS = -(-PERMUTATIONS // LANES)
 MARGIN = 0.2  # over four standard deviations of the estimate at similarity 0.8
 BLOCK = 1 << 16  # shingles whose minima are taken at a time
-MEMBERS = 1024  # members of a bucket's block
+MEMBERS = 1024  # members of a bucket's block, and
+SHINGLES = 1 << 20  # shingles, but for a member that has more by itself
 
 _RANDOM = np.random.default_rng(7)
 FACTORS = _RANDOM.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +107,7 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     text = docs[text_col]
     return docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
-        run,
+        forgetting(run),
         f"doc_id {kind}, text_hash long, n_shingles long, fingerprint binary, low_bits array<long>, keys array<long>",
     )
 
@@ -155,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(forgetting(run), "a long, b long").distinct()
 
 
 def _groups(batches):
@@ -203,10 +205,21 @@ def _promising_partners(table: pa.Table, percent: int):
 
 
 def bucket_links(placed: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components of a bucket, from (key, node, component, main, size)."""
-    blocks = F.ceil(F.col("size") / MEMBERS).cast("int")
-    rows = placed.select("key", "node", "component", "main", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    met = rows.select("key", "node", "component", "main", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")).select(
+    """Pairs (a, b) of components that a link joins, from the members of buckets that hold several components.
+
+    ``placed``: key, node, component, main (the bucket's largest component), and members and shingles of the bucket
+    (``size``, ``shingles``) and of its main component (``main_size``, ``main_shingles``). Blocks of the others come first.
+    """
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / MEMBERS), F.ceil(shingles / SHINGLES), F.lit(1)).cast("int")
+    one = (F.col("size") <= MEMBERS) & (F.col("shingles") <= SHINGLES)
+    others = F.when(one, 1).otherwise(blocks(F.col("size") - F.col("main_size"), F.col("shingles") - F.col("main_shingles")))
+    mains = F.when(one, 0).otherwise(blocks(F.col("main_size"), F.col("main_shingles")))
+    rows = placed.select("key", "node", "component", "main", others.alias("others"), mains.alias("mains"))
+    apart = (F.col("component") == F.col("main")) & (F.col("mains") > 0)
+    draw = F.xxhash64("node")
+    block = F.when(apart, F.col("others") + F.pmod(draw, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(draw, F.col("others"))).cast("int")
+    last = F.when(apart, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    met = rows.select("key", "node", "component", "main", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("partner")).select(
         "key", F.least("block", "partner").alias("low"), F.greatest("block", "partner").alias("high"), "block", "node", "component", "main"
     )
     own = classes.select("node", F.col("n"), "low_bits", "keys")
@@ -238,7 +251,7 @@ def bucket_links(placed: DataFrame, classes: DataFrame, texts: DataFrame, shingl
             flat = np.concatenate(sets)
             order = np.argsort(flat, kind="stable")
             ordered, owner = flat[order], owner[order]
-            node, part = table.column("node").to_numpy(), table.column("component").to_numpy()
+            part = table.column("component").to_numpy()
             joined: dict[int, int] = {}
 
             def root(c):
@@ -256,12 +269,12 @@ def bucket_links(placed: DataFrame, classes: DataFrame, texts: DataFrame, shingl
                 for j in open_ones:
                     if 100 * common[j] >= percent * (lengths[i] + lengths[j] - common[j]) and root(part[j]) != root(part[i]):
                         joined[root(part[j])] = root(part[i])
-                        found.append((node[i], node[j]))
+                        found.append((part[i], part[j]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     chosen = grouped(met.join(own, "node").select(*names)).mapInArrow(taking_part, fields)
-    sets = texts.mapInArrow(as_sets, "node long, shingles binary")
+    sets = texts.mapInArrow(forgetting(as_sets), "node long, shingles binary")
     return grouped(chosen.join(sets, "node").select(*names, "shingles")).mapInArrow(link, "a long, b long").distinct()
 
 
@@ -280,7 +293,7 @@ def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         ),
         "minhash-classes",
     )
-    entries = classes.select("node", F.explode("keys").alias("key"))
+    entries = classes.select("node", "n", F.explode("keys").alias("key"))
     buckets = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.max("node").alias("greatest")).filter("size > 1")
     members = stored(entries.join(buckets.select("key", "least", "greatest"), "key"), "minhash-members")
 
@@ -294,15 +307,19 @@ def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     labels = components(links)
 
     # buckets that still hold several components
-    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    counted = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = counted.groupBy("key").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")
-    ).filter("parts > 1")
-    more = stored(bucket_links(placed.join(mains, "key"), classes, texts, shingle, percent), "minhash-more-links")
-    labels = components(links.unionByName(more))
-
-    named = classes.join(labels, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("component"))
+    placed = members.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("held"))
+    largest = F.max(F.struct("members", "component", "held")).alias("largest")
+    mains = counted.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("size"), F.sum("held").alias("shingles"), largest).filter("parts > 1")
+    mains = mains.select(
+        "key", "size", "shingles", F.col("largest.component").alias("main"), F.col("largest.members").alias("main_size"), F.col("largest.held").alias("main_shingles")
+    )
+    more = stored(bucket_links(placed.drop("n").join(mains, "key"), classes, texts, shingle, percent), "minhash-more-links")
+    # the links found last join components, so only these are taken further
+    merged = components(more).select(F.col("node").alias("old"), F.col("component").alias("new"))
+
+    named = classes.join(labels, "node", "left").select("fingerprint", "doc_id", F.coalesce("component", "node").alias("old"))
+    named = named.join(merged, "old", "left").select("fingerprint", "doc_id", F.coalesce("new", "old").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = named.join(least, "component").select("fingerprint", "component_id")
     out = rows.select("doc_id", "text_hash", "n_shingles", "fingerprint").join(ids, "fingerprint", "left")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.lineage import stored
 from sensorloom.llm import bpe
+from sensorloom.llm.words import forgetting
 
 WINDOW = 1024
 SHARD_TOKENS = 1 << 20  # tail tokens of one shard, which one task packs in memory
@@ -77,7 +78,7 @@ def units(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, doc_tokens long, full_crcs array<long>, tail binary, key long"
+        forgetting(run), f"doc_id {kind}, doc_tokens long, full_crcs array<long>, tail binary, key long"
     )
 
 

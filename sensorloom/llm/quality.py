@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.words import CACHE_WORDS, split_words
+from sensorloom.llm.words import CACHE_BYTES, forgetting, split_words, worker_cache
 
 MAX_TRAIN = 16_000  # rated documents that the model is fitted on, at most
 DIMENSIONS = 1 << 18
@@ -49,11 +49,17 @@ class _Features(dict):
     """Word -> number; ``word``, ``start`` and ``shape`` hold its features by number."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
         self.word, self.start, self.shape = [], [], []
+        self.held = 0  # bytes, estimated
 
     def __missing__(self, raw: bytes) -> int:
         number = self[raw] = len(self.word)
-        shape = raw[:64]
+        self.held += len(raw) + 290
+        shape = raw
         for pattern, sign in _SHAPES:
             shape = pattern.sub(sign, shape)
         word = raw.lower().strip(_EDGES)
@@ -63,22 +69,19 @@ class _Features(dict):
         return number
 
 
-_SEEN = _Features()
-
-
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature numbers of a whole text and their values."""
-    global _SEEN
-    if len(_SEEN) > CACHE_WORDS:
-        _SEEN = _Features()
-    number = _SEEN.__getitem__
+    seen = worker_cache("word features", _Features)
+    if seen.held > CACHE_BYTES:
+        seen.clear()
+    number = seen.__getitem__
     parts = [np.fromiter(map(number, words), np.int64, len(words)) for words in split_words(text or "")]
     words = np.concatenate(parts) if parts else np.empty(0, np.int64)
     distinct, counts = _counted(words)
     n = len(words)
     found = distinct.tolist()
-    word = np.array([_SEEN.word[k] for k in found] + [_SEEN.start[k] for k in found], np.int64)
-    shape = np.array([_SEEN.shape[k] for k in found], np.int64)
+    word = np.array([seen.word[k] for k in found] + [seen.start[k] for k in found], np.int64)
+    shape = np.array([seen.shape[k] for k in found], np.int64)
     word = np.sort(word)
     word = word[np.r_[True, word[1:] != word[:-1]]] if n else word
     order = np.argsort(shape, kind="stable")
@@ -223,7 +226,7 @@ def train(docs: DataFrame, rated: DataFrame, max_train: int = MAX_TRAIN, n_grade
             names=["index", "weight", "thresholds"],
         )
 
-    extracted = chosen.mapInArrow(extract, "doc_id string, grade int, index array<int>, value array<float>")
+    extracted = chosen.mapInArrow(forgetting(extract), "doc_id string, grade int, index array<int>, value array<float>")
     fitted = extracted.repartition(1).mapInArrow(learn, "index array<int>, weight array<double>, thresholds array<double>").collect()
     if not fitted:
         return Model(np.empty(0, np.int64), np.empty(0), np.full(n_grades - 1, -50.0))
@@ -236,14 +239,17 @@ def scorer(spark: SparkSession, model: Model):
     shared = spark.sparkContext.broadcast(model)  # at most one weight per hashed feature
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weight = shared.value.dense()
-        for texts in batches:
-            total = np.empty(len(texts))
-            for k, text in enumerate(texts):
-                index, value = features(text)
-                total[k] = weight[index] @ value
-            tail = _sigmoid(total[:, None] - shared.value.thresholds)
-            yield pd.DataFrame({"expected": tail.sum(axis=1), "tail": tail[:, -1]})
+        def run(batches):
+            weight = shared.value.dense()
+            for texts in batches:
+                total = np.empty(len(texts))
+                for k, text in enumerate(texts):
+                    index, value = features(text)
+                    total[k] = weight[index] @ value
+                tail = _sigmoid(total[:, None] - shared.value.thresholds)
+                yield pd.DataFrame({"expected": tail.sum(axis=1), "tail": tail[:, -1]})
+
+        yield from forgetting(run)(batches)
 
     return F.pandas_udf(score, "expected double, tail double")
 

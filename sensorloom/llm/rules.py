@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.words import windows, word_hashes
+from sensorloom.llm.words import forgetting, windows, word_hashes
 
 REPEAT_WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +105,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, ", ".join([f"doc_id {kind}", *(f"{m} long" for m in MEASURES)])
+        forgetting(run), ", ".join([f"doc_id {kind}", *(f"{m} long" for m in MEASURES)])
     )
     return found.withColumn("failed_bits", failure_bits({m: F.col(m) for m in MEASURES}))
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.lineage import shared_folder, stored
 from sensorloom.llm import bpe
+from sensorloom.llm.words import forgetting
 
 MAGIC = b"TOKFRM01"
 HEADER = struct.Struct("<8sI32s")
@@ -78,7 +79,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 at = draw % max(1, len(raw) // kind.itemsize - SAMPLE_BYTES // kind.itemsize) * kind.itemsize
                 yield pa.RecordBatch.from_arrays([pa.array([draw]), pa.array([raw[at : at + SAMPLE_BYTES]], pa.binary())], names=["draw", "piece"])
 
-    pieces = chosen.mapInArrow(run, "draw long, piece binary").dropDuplicates(["draw"]).limit(2 * SAMPLE_DOCS).collect()
+    pieces = chosen.mapInArrow(forgetting(run), "draw long, piece binary").dropDuplicates(["draw"]).limit(2 * SAMPLE_DOCS).collect()
     samples = [bytes(r["piece"]) for r in sorted(pieces, key=lambda r: r["draw"]) if len(r["piece"]) >= 8]
     if len(samples) < MIN_SAMPLES:
         return b""
@@ -119,7 +120,7 @@ def encoded(docs: DataFrame, path: str, dictionary, end_id: int, id_col: str, te
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, n_tokens long, crc long, salt long, n_bytes long, frame binary")
+    return chosen.mapInArrow(forgetting(run), f"id {kind}, n_tokens long, crc long, salt long, n_bytes long, frame binary")
 
 
 class _File:

@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+
 import numpy as np
 import xxhash
 
 SLICE_BYTES = 1 << 22  # a longer text is split into words slice by slice
-CACHE_WORDS = 1 << 19
+CACHE_BYTES = 32 << 20  # about what a worker's cache holds before it starts anew
 
 ODD = np.random.default_rng(20240229).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Hashes(dict):
+    held = 0  # bytes, estimated
+
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
+        self.held += len(word) + 160
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+_KEPT: dict = {}
+
+
+def worker_cache(kind: Hashable, make: Callable):
+    """The worker's cache of this kind. A worker serves many stages, so only the kind asked for last is kept."""
+    if kind not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind] = make()
+    return _KEPT[kind]
+
+
+def forgetting(run: Callable) -> Callable:
+    """``run`` over the batches of a task, emptying the worker's cache at its end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cache in _KEPT.values():
+                cache.clear()
 
-_HASHES = _Hashes()
+    return task
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,10 +74,12 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     """One hash per word of the whole text, in order."""
     if not text:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    of = _HASHES.__getitem__
-    return np.concatenate([np.fromiter(map(of, words), np.uint64, len(words)) for words in split_words(text, lower)])
+    cache, parts = worker_cache("word hashes", _Hashes), []
+    for words in split_words(text, lower):
+        if cache.held > CACHE_BYTES:
+            cache.clear()
+        parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts)
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

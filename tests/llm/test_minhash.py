@@ -83,3 +83,26 @@ def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("shingles", [1 << 20, 900])
+def test_blocks_bounded_by_shingles_and_very_long_texts(make_docs, monkeypatch, shingles):
+    monkeypatch.setattr(minhash, "SHINGLES", shingles)
+    monkeypatch.setattr(minhash, "MEMBERS", 16)
+    long = [f"l{k}" for k in range(300_000)]
+    near = [*long[:150_000], "changed", *long[150_001:]]
+    rows = corpus(60, seed=5) + [(2000, " ".join(long)), (2001, " ".join(near)), (2002, " ".join(long[:200_000])), (2003, "word " * 1_000_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make_docs(rows), shingle=4).collect()}
+    assert got == {i: (n, c) for i, n, c in brute(rows, 4, 80)}
+
+
+def test_worker_caches_are_bounded_and_emptied():
+    from sensorloom.llm import words
+
+    text = " ".join(f"w{k}" for k in range(400_000))
+    assert len(words.word_hashes(text)) == 400_000
+    cache = words.worker_cache("word hashes", words._Hashes)
+    assert cache.held <= words.CACHE_BYTES + words.SLICE_BYTES * 40
+    assert list(words.forgetting(iter)([1, 2])) == [1, 2] and not cache
+    words.worker_cache("other", dict)
+    assert list(words._KEPT) == ["other"]
