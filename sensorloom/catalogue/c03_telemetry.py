@@ -470,7 +470,7 @@ relation(
        SELECT asset_id, measurement_type, max(n) AS n, max(bucket) AS hs, max(v) FILTER (pos = 1) AS first_value,
          (sum(v) + (24 - max(n)) * max(v) FILTER (pos = 1)) / 24.0 AS mean,
          max(v) FILTER (pos = n) AS last, coalesce(max(v) FILTER (pos = n - 1), max(v) FILTER (pos = 1)) AS prev,
-         sum(v * v) + (24 - max(n)) * pow(max(v) FILTER (pos = 1), 2) - pow(sum(v) + (24 - max(n)) * max(v) FILTER (pos = 1), 2) / 24.0 AS ss
+         CASE WHEN min(v) = max(v) THEN 0 ELSE sum(v * v) + (24 - max(n)) * pow(max(v) FILTER (pos = 1), 2) - pow(sum(v) + (24 - max(n)) * max(v) FILTER (pos = 1), 2) / 24.0 END AS ss
        FROM (SELECT asset_id, measurement_type, bucket, v, row_number() OVER (PARTITION BY asset_id, measurement_type ORDER BY bucket) AS pos,
                count(*) OVER (PARTITION BY asset_id, measurement_type) AS n
              FROM (SELECT asset_id, measurement_type, date_trunc('hour', timestamp) AS bucket, avg(value) AS v,
@@ -483,12 +483,12 @@ relation(
 @query(
     "W27_forecast_features",
     """SELECT asset_id, measurement_type, 24 AS length, round(mean, 6) AS mean, round(std, 5) AS std, round((last - mean) / std, 4) AS last_feature,
-       round((first_value - mean) / std, 4) AS first_feature FROM context WHERE std > 1e-3""",
+       round((first_value - mean) / std, 4) AS first_feature FROM context """,
     ("context",),
 )
 def w27(spark, sf):
     context = reads.forecast_context(reads.rollup(wh.observations(spark, sf), "1h"))
-    return context.filter(F.col("std") > 1e-3).select(
+    return context.select(
         "asset_id", "measurement_type", F.size("features").alias("length"), F.round("mean", 6).alias("mean"),
         F.round("std", 5).alias("std"), F.round(F.element_at("features", -1), 4).alias("last_feature"),
         F.round(F.element_at("features", 1), 4).alias("first_feature"),

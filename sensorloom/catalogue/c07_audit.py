@@ -540,10 +540,8 @@ def q14(spark, sf):
 )
 def u05(spark, sf):
     runs = placed_runs(spark, sf)
-    mild = runs.filter(F.col("severity").isNull() | (F.col("severity") < 0.5))
-    present = mild.select("asset_id", "class_label").distinct()
-    full = runs.select("asset_id").distinct().join(runs.select("class_label").distinct(), how="cross")  # short vocabularies
-    return full.join(present, ["asset_id", "class_label"], "left_anti").select(F.col("asset_id").alias("split"), "class_label")
+    mild = F.col("severity").isNull() | (F.col("severity") < 0.5)
+    return audit.missing_combinations(runs, "asset_id", "class_label", mild).select(F.col("asset_id").alias("split"), "class_label")
 
 
 LEAK = """WITH c AS (SELECT class_label, count(DISTINCT asset_id) AS assets, count(DISTINCT duration) AS durations, min(fault_start) AS lo, max(fault_start) AS hi FROM leak_runs GROUP BY 1),

@@ -304,13 +304,14 @@ def class_ranges(rows: DataFrame) -> DataFrame:
 def separability(healthy: DataFrame, faulty: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Best threshold accuracy of every fault class against healthy rows, per measurement (and band).
 
-    Healthy rows are attached to each fault class through the short class list, then both
-    sides collapse to counts per distinct value.
+    Both sides collapse to counts per distinct value; the healthy counts are then repeated for
+    each fault class, a short list.
     """
     keys = ["class_label", "measurement", *by]
     counted_ok = healthy.groupBy("measurement", *by, "value").agg(F.count(F.lit(1)).alias("_ok"))
-    classes = faulty.select("class_label").distinct()
-    ok = counted_ok.join(classes, how="cross").withColumn("_fault", F.lit(0).cast("long"))  # classes: a short fixed vocabulary
+    classes = faulty.agg(F.collect_set("class_label").alias("_classes"))
+    repeated = counted_ok.crossJoin(F.broadcast(classes)).withColumn("class_label", F.explode("_classes")).drop("_classes")  # one row: a short vocabulary
+    ok = repeated.withColumn("_fault", F.lit(0).cast("long"))
     bad = faulty.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_fault")).withColumn("_ok", F.lit(0).cast("long"))
     weighted = ok.unionByName(bad)
     split = series.cumulative_by_value(weighted, keys, "value", {"fault": F.col("_fault"), "ok": F.col("_ok")})
@@ -329,14 +330,15 @@ def severity_correlation(effects: DataFrame) -> DataFrame:
     )
 
 
-def missing_combinations(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """Values of ``right`` seen somewhere but not together with a given ``left`` value.
+def missing_combinations(rows: DataFrame, left: str, right: str, counts: Column | None = None) -> DataFrame:
+    """Values of ``right`` seen somewhere but in no row of a given ``left`` value for which ``counts`` holds.
 
     Both columns are short vocabularies (splits, classes, assets).
     """
-    present = rows.select(left, right).distinct()
-    full = present.select(left).distinct().join(present.select(right).distinct(), how="cross")
-    return full.join(present, [left, right], "left_anti")
+    seen = F.col(right) if counts is None else F.when(counts, F.col(right))
+    present = rows.groupBy(left).agg(F.collect_set(seen).alias("_seen"))
+    every = rows.agg(F.collect_set(right).alias("_all"))
+    return present.crossJoin(F.broadcast(every)).select(left, F.explode(F.array_except("_all", "_seen")).alias(right))  # one row: a short vocabulary
 
 
 def variation_problems(runs: DataFrame, numeric: Sequence[str], ranges: dict[str, tuple[float, float]], grid: tuple[float, float], healthy: str) -> DataFrame:

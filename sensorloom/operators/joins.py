@@ -17,7 +17,6 @@ def as_of_join(
     left_time: str,
     right_time: str,
     take: Sequence[str],
-    bucket_seconds: int = 86_400,
     forward: bool = False,
     tie: Sequence[str] = (),
 ) -> DataFrame:
@@ -27,12 +26,11 @@ def as_of_join(
     right columns to attach (null when there is none); ``tie`` breaks equal right
     times (the greatest wins backward, the smallest forward).
 
-    Both sides are cut into (key, time bucket) groups. A group answers from its own
-    rows; rows without a local answer use the nearest earlier (later) bucket's last
-    (first) row, carried over a table with one row per bucket.
+    Both sides of a key lie in one ordered run. A key with very many rows is cut into cells along
+    time and ties (:func:`series.in_cells`); a cell answers from its own rows, and rows without a local answer use
+    the nearest earlier (later) cell's last (first) row, carried over a table with one row per cell.
     """
     keys = list(keys)
-    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(bucket_seconds * 1_000_000))
     payload = F.struct(*[F.col(c).alias(c) for c in take])
     rights = right.select(
         *keys, F.col(right_time).alias("_t"), F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"), payload.alias("_r")
@@ -40,24 +38,27 @@ def as_of_join(
     lefts = left.select(
         *keys, F.col(left_time).alias("_t"), F.struct("*").alias("_left")
     )
-    both = rights.unionByName(lefts, allowMissingColumns=True).withColumn("_bucket", bucket(F.col("_t")))
-    is_left = F.col("_left").isNotNull()
+    both = rights.unionByName(lefts, allowMissingColumns=True).withColumn("_is_left", F.col("_left").isNotNull())
     if forward:
-        local_order = [F.desc("_t"), F.asc(is_left.cast("int")), F.desc("_tie")]
-        edge = F.min_by(F.when(~is_left, F.col("_r")), F.when(~is_left, F.struct("_t", "_tie")))
-        carry_order = F.desc("_bucket")
+        order = [F.desc("_t"), F.asc("_is_left"), F.desc("_tie")]
     else:
-        local_order = [F.asc("_t"), F.asc(is_left.cast("int")), F.asc("_tie")]
-        edge = F.max_by(F.when(~is_left, F.col("_r")), F.when(~is_left, F.struct("_t", "_tie")))
-        carry_order = F.asc("_bucket")
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*local_order).rowsBetween(Window.unboundedPreceding, 0)
-    edges = both.groupBy(*keys, "_bucket").agg(edge.alias("_edge"))
-    before = Window.partitionBy(*keys).orderBy(carry_order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = edges.select(*keys, "_bucket", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
-    answered = both.withColumn("_local", F.last(F.when(~is_left, F.col("_r")), ignorenulls=True).over(local))
+        order = [F.asc("_t"), F.asc("_is_left"), F.asc("_tie")]
+    celled, cut = series.in_cells(both, keys, order)
+    answer = F.when(~F.col("_is_left"), F.col("_r"))
+    if not cut:
+        local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = celled.withColumn("_found", F.last(answer, ignorenulls=True).over(local)).filter("_is_left")
+        return found.select("_left.*", *[F.col("_found")[c].alias(c) for c in take])
+    local = Window.partitionBy(*keys, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.when(~F.col("_is_left"), F.struct("_t", "_tie"))
+    edge = F.min_by(answer, rank) if forward else F.max_by(answer, rank)
+    edges = celled.groupBy(*keys, "_cell").agg(edge.alias("_edge"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*keys, "_cell", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
+    answered = celled.withColumn("_local", F.last(answer, ignorenulls=True).over(local))
     found = F.coalesce(F.col("_local"), F.col("_carry"))
     return (
-        series.null_safe_join(answered.filter(is_left), carried, [*keys, "_bucket"], "left")
+        series.null_safe_join(answered.filter("_is_left"), carried, [*keys, "_cell"], "left")
         .select("_left.*", *[found[c].alias(c) for c in take])
     )
 
@@ -123,13 +124,16 @@ def append_unique(incoming: DataFrame, existing: DataFrame, key: str, newest: Se
 
 
 def strict_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that fails when either side has a duplicate or an unmatched key."""
+    """Inner join that fails when either side has a duplicate or an unmatched key.
+
+    Each side is one aggregation by key, so that one outer join both matches the rows and shows every broken key.
+    """
     keys = list(keys)
-    side = lambda df, c: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))
-    matched = side(left, "_l").join(side(right, "_r"), keys, "full_outer")
-    broken = matched.agg(F.count_if(~(F.col("_l").eqNullSafe(1) & F.col("_r").eqNullSafe(1))).alias("_broken"))
-    joined = left.join(right, keys, "inner").crossJoin(F.broadcast(broken))  # one-row guard
-    guard = F.when(F.col("_broken") == 0, F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("features and labels are not 1:1; broken keys: "), F.col("_broken").cast("string")))
-    )
-    return joined.filter(guard).drop("_broken")
+    parts = {}
+    for side, df in (("l", left), ("r", right)):
+        rest = F.struct(*[c for c in df.columns if c not in keys])
+        parts[side] = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n_{side}"), F.any_value(rest).alias(f"_{side}"))
+    matched = parts["l"].join(parts["r"], keys, "full_outer")
+    broken = F.raise_error(F.concat(F.lit("features and labels are not 1:1 at "), F.to_json(F.struct(*keys))))
+    guard = F.when(F.col("_n_l").eqNullSafe(1) & F.col("_n_r").eqNullSafe(1), F.lit(True)).otherwise(broken)
+    return matched.filter(guard).select(*keys, "_l.*", "_r.*")

@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(series)`` sends a whole series to one task. The
 helpers here keep the same exact answers but never rely on a series fitting in
 one task:
 
-* :func:`with_position` numbers rows per series; series above ``hot_rows`` are
-  numbered chunk by chunk and the chunk offsets are added afterwards.
+* :func:`in_cells` cuts series above ``hot_rows`` rows by ranges of their order, ties
+  included; :func:`with_position` numbers rows cell by cell and adds the cells' offsets.
 * :func:`in_blocks` cuts numbered series into blocks of consecutive rows and
   repeats the last ``halo`` rows of a block at the head of the next one, so
   lag/rolling windows can be partitioned by (series, block).
@@ -23,8 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorloom.lineage import cut_lineage, stored
+
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 200_000
+BIN_ROWS = 1_000_000  # distinct values of a bin that is not cut again
+CUT_AGAIN = 256  # parts into which a larger bin is cut
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,43 +39,50 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*names)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most ``total_rows / hot_rows`` of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > (hot_rows or HOT_ROWS)).select(*keys)
+def in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], hot_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_cell``, by which a huge series is cut along ``order``, and tell whether any series was cut.
+
+    One count per series decides. Series of at most ``hot_rows`` rows are one cell. The others are dealt by ranges of
+    (series, order), with a number per row behind the order, so that neither one day, nor one timestamp, nor equal rows
+    make a large cell; the ranges are written to the shared folder, as everything after them must see the same ones.
+    """
+    limit = hot_rows or HOT_ROWS
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    hot = cut_lineage(counts)  # at most total_rows / hot_rows rows
+    total = hot.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return df.withColumn("_cell", F.lit(0).cast("long")), False
+    huge = null_safe_join(df, hot.select(*keys), keys, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    ranged = huge.repartitionByRange(-(-total // limit) + 1, *keys, *order, "_row").drop("_row")
+    cut = stored(ranged.withColumn("_cell", F.spark_partition_id().cast("long")), "series-cells")
+    rest = null_safe_join(df, hot.select(*keys), keys, "left_anti").withColumn("_cell", F.lit(0).cast("long"))
+    return rest.unionByName(cut), True
 
 
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | None = None,
     name: str = "pos",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """1-based row number per ``keys`` in ``order``.
+    """1-based row number per ``keys`` in ``order``. A null key is a series like any other.
 
-    ``chunk`` must be non-decreasing along ``order`` (for example the date of the
-    leading timestamp). It only takes effect for series above ``hot_rows``. A null
-    key is a series like any other.
+    Series above ``hot_rows`` are numbered cell by cell (:func:`in_cells`), and the sizes of a series' earlier cells are
+    added. ``chunk``, a column that does not decrease along ``order``, may lead the cutting; it is not needed.
     """
     keys = list(keys)
-    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    tagged = null_safe_join(df, hot, keys, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk))
-    sizes = (
-        null_safe_join(df, hot, keys, "left_semi")
-        .withColumn("_chunk", chunk)
-        .groupBy(*keys, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    numbered = tagged.withColumn("_local", F.row_number().over(local))
-    return (
-        null_safe_join(numbered, offsets, [*keys, "_chunk"], "left")
-        .withColumn(name, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local")).cast("long"))
-        .drop("_chunk", "_hot", "_local", "_offset")
-    )
+    celled, cut = in_cells(df, keys, [*([chunk] if chunk is not None else []), *order], hot_rows)
+    if not cut:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return celled.drop("_cell").withColumn(name, place.cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = sizes.select(*keys, "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = celled.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(*order)))
+    placed = null_safe_join(numbered, offsets, [*keys, "_cell"]).withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
+    return placed.drop("_cell", "_local", "_offset")
 
 
 def in_blocks(df: DataFrame, pos: str = "pos", halo: int = 0, ahead: int = 0, rows: int | None = None) -> DataFrame:
@@ -165,8 +176,9 @@ def cumulative_by_value(
     it) and ``total_m``.
 
     Equal values collapse map-side; a mergeable sketch gives up to ``cuts`` cut points per
-    group; every (group, bin) is ordered in its own task and the bins are chained through
-    a table with at most ``cuts`` rows per group.
+    group, and bins that still hold more than ``BIN_ROWS`` distinct values are cut again into
+    up to ``CUT_AGAIN`` each; every (group, bin) is ordered in its own task and
+    the bins are chained through a table with one row per bin.
     """
     keys = list(keys)
     present = rows.filter(F.col(value).isNotNull()).select(
@@ -179,7 +191,13 @@ def cumulative_by_value(
     edges = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 2_000)).alias("_edges"))
     # without keys there is one row of cut points, so attaching it adds no rows
     located = null_safe_join(counted, edges, keys) if keys else counted.crossJoin(F.broadcast(edges))
-    binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
+    binned = located.withColumn("_bin", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))).cast("long")).drop("_edges")
+    fine = [i / CUT_AGAIN for i in range(1, CUT_AGAIN)]
+    inner = F.array_distinct(F.percentile_approx("_v", fine, 20 * CUT_AGAIN)).alias("_edges")
+    large = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), inner).filter(F.col("_n") > BIN_ROWS).drop("_n")
+    placed = null_safe_join(binned, large, [*keys, "_bin"], "left")
+    finer = F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e <= F.col("_v"))))
+    binned = placed.withColumn("_bin", F.col("_bin") * CUT_AGAIN + finer).drop("_edges")
     along = Window.partitionBy(*keys).orderBy("_bin")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)

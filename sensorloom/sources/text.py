@@ -114,20 +114,25 @@ def parse_topic_payload(messages: DataFrame, root: str, now: Column | None = Non
     pattern = TOPIC_PATTERN.format(root=root)
     part = lambda i: F.regexp_extract("topic", pattern, i)
     body = lambda name: F.get_json_object("payload", f"$.{name}")
-    stamp = F.when(body("timestamp").isNull(), now if now is not None else F.current_timestamp()).otherwise(
-        parse_iso(body("timestamp"))
+    variant = F.try_parse_json("payload")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
+    is_text = lambda name: F.coalesce(kind(name) == "STRING", F.lit(False))
+    is_object = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
+    stamp = F.when(body("timestamp").isNull(), now if now is not None else F.current_timestamp()).when(
+        is_text("timestamp"), parse_iso(body("timestamp"))
     )
+    truth = F.when(kind("value") == "BOOLEAN", F.when(body("value") == "true", 1.0).otherwise(0.0))  # as float() takes it
     out = messages.select(
         "topic",
         part(1).alias("site"),
         F.coalesce(body("asset_id"), part(2)).alias("asset_id"),
         F.coalesce(body("measurement_type"), part(3)).alias("measurement_type"),
         stamp.alias("timestamp"),
-        body("value").try_cast("double").alias("value"),
-        body("unit").alias("unit"),
-        body("id").alias("_id"),
-        F.try_parse_json("payload").isNull().alias("_bad"),
-        body("value").isNull().alias("_no_value"),
+        F.coalesce(truth, body("value").try_cast("double")).alias("value"),
+        F.when(is_text("unit"), body("unit")).alias("unit"),
+        F.when(is_text("id"), body("id")).alias("_id"),
+        (~is_object).alias("_bad"),
+        (is_object & kind("value").isNull()).alias("_no_value"),
     )
     generated = F.concat_ws(
         "-", F.lit("mqtt"), "asset_id", "measurement_type", F.floor(F.unix_micros("timestamp") / 1000).cast("string")
