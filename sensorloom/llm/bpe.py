@@ -19,14 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.llm.words import forgetting, worker_cache
+from sensorloom.llm.words import Numbered, forgetting, worker_cache
 
 # The splitting pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SLICE_CHARS = 1 << 20  # a longer text is encoded in slices, cut where no word can span
-CACHE_CHUNKS = 1 << 17  # distinct chunks kept before the cache starts anew,
-CACHE_BYTES = 48 << 20  # or about as many bytes
+CACHE_CHUNKS = 1 << 18  # distinct chunks kept before those used once are forgotten,
+CACHE_BYTES = 96 << 20  # or about as many bytes
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -37,12 +37,12 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class _Numbers(dict):
+class _Numbers(Numbered):
     """Chunk -> number; a chunk seen first gets the next number and is listed as pending."""
 
-    def __init__(self):
+    def clear(self) -> None:
+        super().clear()
         self.pending: list[str] = []
-        self.held = 0  # bytes, estimated
 
     def __missing__(self, chunk: str) -> int:
         number = self[chunk] = len(self)
@@ -95,6 +95,13 @@ class Encoder:
         self.text_flat, self.text_start, self.text_len = self._table([b"%d," % i for i in range(self.n_ids)])
         self.clear()
 
+    def _forget(self):
+        """Keep the chunks used more than once."""
+        kept = self.numbers.trim()
+        lengths = self.lengths[kept]
+        self.flat = self.flat[_spread(self.starts[kept], lengths)]
+        self.starts, self.lengths, self.used = np.cumsum(lengths) - lengths, lengths, len(self.flat)
+
     @staticmethod
     def _table(entries: list[bytes]):
         lengths = np.array([len(e) for e in entries], np.int64)
@@ -221,8 +228,10 @@ class Encoder:
         ids = self.flat[_spread(self.starts[index], lengths)] if len(index) else self.flat[:0].copy()
         ends = np.r_[0, np.cumsum(lengths)]
         counts = np.diff(ends[np.r_[0, np.cumsum(np.array(per_text, np.int64))]])
+        used, times = np.unique(index, return_counts=True)
+        self.numbers.count(used, times)
         if len(self.numbers) > CACHE_CHUNKS or self.numbers.held > CACHE_BYTES:
-            self.clear()
+            self._forget()
         return ids, counts
 
     def encode_batches(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:

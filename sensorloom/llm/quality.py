@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.words import CACHE_BYTES, forgetting, split_words, worker_cache
+from sensorloom.llm.words import CACHE_BYTES, Numbered, forgetting, split_words, worker_cache
 
 MAX_TRAIN = 16_000  # rated documents that the model is fitted on, at most
 DIMENSIONS = 1 << 18
@@ -45,16 +45,18 @@ def _bucket(name: bytes) -> int:
     return xxhash.xxh3_64_intdigest(name) % DIMENSIONS
 
 
-class _Features(dict):
+class _Features(Numbered):
     """Word -> number; ``word``, ``start`` and ``shape`` hold its features by number."""
 
-    def __init__(self):
-        self.clear()
-
     def clear(self) -> None:
         super().clear()
         self.word, self.start, self.shape = [], [], []
-        self.held = 0  # bytes, estimated
+
+    def forget(self) -> None:
+        """Keep the words used more than once."""
+        held = self.word, self.start, self.shape
+        kept = self.trim().tolist()
+        self.word, self.start, self.shape = ([of[k] for k in kept] for of in held)
 
     def __missing__(self, raw: bytes) -> int:
         number = self[raw] = len(self.word)
@@ -73,11 +75,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature numbers of a whole text and their values."""
     seen = worker_cache("word features", _Features)
     if seen.held > CACHE_BYTES:
-        seen.clear()
+        seen.forget()
     number = seen.__getitem__
     parts = [np.fromiter(map(number, words), np.int64, len(words)) for words in split_words(text or "")]
     words = np.concatenate(parts) if parts else np.empty(0, np.int64)
     distinct, counts = _counted(words)
+    seen.count(distinct, counts)
     n = len(words)
     found = distinct.tolist()
     word = np.array([seen.word[k] for k in found] + [seen.start[k] for k in found], np.int64)

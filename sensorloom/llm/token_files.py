@@ -19,6 +19,7 @@ whole table, with at most ``SAMPLE_BYTES`` of each, from a place that the hash c
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -26,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
-from pyarrow import fs
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.lineage import shared_folder, stored
 from sensorloom.llm import bpe
-from sensorloom.llm.words import forgetting
+from sensorloom.llm.words import forgetting, worker_cache
+from sensorloom.sources.files import filesystem
 
 MAGIC = b"TOKFRM01"
 HEADER = struct.Struct("<8sI32s")
@@ -47,19 +50,43 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS = 2048
 SAMPLE_BYTES = 4 << 10
 MIN_SAMPLES = 16  # fewer give no dictionary
+ROWS = 512  # documents of a batch that is sent on
+LONG_SPACE = re.compile(r"\s{200}")
 
 MANIFEST = "path string, partition int, place int, n_docs long, n_tokens long, first_id {0}, last_id {0}, n_bytes long"
 
 
-def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a folder's URI (Hadoop's ``s3a`` is ``s3`` here)."""
-    scheme, found, rest = folder.partition(":")
-    return fs.FileSystem.from_uri(f"s3:{rest}" if found and scheme in ("s3a", "s3n") else folder)
+class Ids:
+    """Ids of whole texts by one vocabulary.
 
+    The compiled encoder takes texts as they are; it needs ids in the order of merges, and its pattern matching does not bear
+    long runs of white space. Other texts, those that hold special tokens and very long ones go through the merge rounds.
+    """
 
-def id_dtype(vocabulary: bytes) -> np.dtype:
-    """The shortest little-endian type that holds every id of the vocabulary."""
-    return np.dtype("<u2" if bpe.loaded(vocabulary).n_ids <= 1 << 16 else "<u4")
+    def __init__(self, content: bytes):
+        self.rounds = bpe.Encoder(content)
+        self.special = re.compile("|".join(map(re.escape, self.rounds.special))) if self.rounds.special else None
+        self.dtype = np.dtype("<u2" if self.rounds.n_ids <= 1 << 16 else "<u4")
+        self.compiled = None
+        if (np.diff(self.rounds.made) > 0).all():
+            names = {v: k for k, v in self.rounds.special.items()}
+            pieces = {self.rounds.decode_bytes(np.array([i])): i for i in range(self.rounds.n_ids) if i not in names}
+            self.compiled = tiktoken.Encoding("vocabulary", pat_str=bpe.PATTERN, mergeable_ranks=pieces, special_tokens={})
+
+    def clear(self) -> None:
+        self.rounds.clear()
+
+    def of(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, self.dtype)
+        plain = self.compiled is not None and len(text) <= bpe.SLICE_CHARS and not LONG_SPACE.search(text)
+        if plain and not (self.special and self.special.search(text)):
+            return np.array(self.compiled.encode_ordinary(text), self.dtype)
+        return self.rounds.encode(text).astype(self.dtype)
+
+
+def loaded(content: bytes) -> Ids:
+    return worker_cache(("ids", hash(content)), lambda: Ids(content))
 
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
@@ -72,11 +99,12 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     content = bpe.vocabulary(docs.sparkSession, path)
 
     def run(batches):
-        encoder, kind = bpe.loaded(content.value), id_dtype(content.value)
+        ids = loaded(content.value)
+        width = ids.dtype.itemsize
         for batch in batches:
             for draw, text in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = encoder.encode(text).astype(kind).tobytes()
-                at = draw % max(1, len(raw) // kind.itemsize - SAMPLE_BYTES // kind.itemsize) * kind.itemsize
+                raw = ids.of(text).tobytes()
+                at = draw % max(1, (len(raw) - SAMPLE_BYTES) // width) * width
                 yield pa.RecordBatch.from_arrays([pa.array([draw]), pa.array([raw[at : at + SAMPLE_BYTES]], pa.binary())], names=["draw", "piece"])
 
     pieces = chosen.mapInArrow(forgetting(run), "draw long, piece binary").dropDuplicates(["draw"]).limit(2 * SAMPLE_DOCS).collect()
@@ -94,29 +122,29 @@ def encoded(docs: DataFrame, path: str, dictionary, end_id: int, id_col: str, te
     content = bpe.vocabulary(docs.sparkSession, path)
 
     def run(batches):
-        encoder, kind = bpe.loaded(content.value), id_dtype(content.value)
+        ids = loaded(content.value)
         shared = zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         for batch in batches:
-            done = 0
-            for ids, counts in encoder.encode_batches(batch.column(1).to_pylist()):
-                crcs, frames = [], []
-                for own in np.split(ids, np.cumsum(counts)[:-1]):
-                    own = np.append(own, own.dtype.type(end_id))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                counts, crcs, frames = [], [], []
+                for text in part.column(1):
+                    own = np.append(ids.of(text.as_py()), ids.dtype.type(end_id))
+                    counts.append(len(own))
                     crcs.append(zlib.crc32(own.astype("<u4").tobytes()))
-                    frames.append(packer.compress(own.astype(kind).tobytes()))
+                    frames.append(packer.compress(own.tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(done, len(counts)),
-                        pa.array(counts + 1),
+                        part.column(0),
+                        pa.array(counts, pa.int64()),
                         pa.array(crcs, pa.int64()),
-                        pa.array(range(done, done + len(counts)), pa.int64()),
+                        pa.array(range(at, at + part.num_rows), pa.int64()),
                         pa.array(list(map(len, frames)), pa.int64()),
                         pa.array(frames, pa.binary()),
                     ],
                     names=["id", "n_tokens", "crc", "salt", "n_bytes", "frame"],
                 )
-                done += len(counts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -126,7 +154,7 @@ def encoded(docs: DataFrame, path: str, dictionary, end_id: int, id_col: str, te
 class _File:
     """One file being written."""
 
-    def __init__(self, store: fs.FileSystem, folder: str, width: int, sha: bytes, place: int):
+    def __init__(self, store: FileSystem, folder: str, width: int, sha: bytes, place: int):
         self.path = f"frames-{TaskContext.get().partitionId():06d}-{place:04d}-{uuid.uuid4().hex}.tok"
         self.out = store.open_output_stream(f"{folder}/{self.path}")
         self.out.write(HEADER.pack(MAGIC, width, sha))
@@ -170,7 +198,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_col: str
     order = [F.col("id").asc_nulls_last(), "crc", "n_tokens", "salt"]
     moved = frames.repartitionByRange(n_files, *order).sortWithinPartitions(*order).select("id", "n_tokens", "n_bytes", "frame")
     with open(path, "rb") as file:
-        width = id_dtype(file.read()).itemsize
+        width = Ids(file.read()).dtype.itemsize
 
     def run(batches):
         store, place = filesystem(folder)

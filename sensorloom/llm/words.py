@@ -26,6 +26,40 @@ class _Hashes(dict):
         self.held = 0
 
 
+class Numbered(dict):
+    """Key -> number in the order of arrival, with how often each was used; ``trim`` forgets the keys used once."""
+
+    def __init__(self):
+        super().__init__()
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0  # bytes, estimated
+        self.uses = np.zeros(1 << 10, np.int64)
+
+    def count(self, numbers: np.ndarray, times: np.ndarray | int = 1) -> None:
+        """Note that distinct ``numbers`` were used so many times."""
+        if len(self) > len(self.uses):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self), np.int64)])
+        self.uses[numbers] += times
+
+    def trim(self) -> np.ndarray:
+        """Keep the keys used more than once, half of all at most, under new numbers; returns their old numbers."""
+        uses = self.uses[: len(self)]
+        kept = np.flatnonzero(uses > 1)
+        if 2 * len(kept) > len(self):
+            kept = np.sort(kept[np.argpartition(-uses[kept], len(self) // 2)[: len(self) // 2]])
+        names, share = list(self), self.held // max(1, len(self))
+        uses = uses[kept]
+        self.clear()
+        for number, k in enumerate(kept.tolist()):
+            self[names[k]] = number
+        self.held = share * len(kept)
+        self.count(np.arange(len(kept)), uses // 2)
+        return kept
+
+
 _KEPT: dict = {}
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyarrow.fs import FileSelector
 
 from sensorloom.lineage import shared_folder
 from sensorloom.llm import token_files
@@ -21,6 +22,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_ids_of_odd_texts():
+    with open(PATH, "rb") as file:
+        ids = token_files.Ids(file.read())
+    rng = random.Random(1)
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "é", "日", "1", "'s", "'ll", "!", "<|endoftext|>", "\u00a0", "\x85", "\u200b", "٣", "_", "ǅ", "\U0001f600", " " * 300]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [" \n" * 5000, "\n" * 9000 + "x", "a" * 20_000]
+    assert ids.compiled is not None
+    for text in texts:
+        assert ids.of(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    for odd in (" " * 2_000_000, "日本語 " * 600_000):  # longer than a slice
+        assert len(ids.of(odd)) == len(ids.rounds.encode(odd))
+
+
 def corpus():
     rng = random.Random(8)
     words = ["river", "stone", "Wörter", "12", "x=1;", "\n", "日本", "the", "<|endoftext|>"]
@@ -78,7 +92,7 @@ def test_files_name_their_dictionary_and_reject_another(spark, folder):
     reader = token_files.Reader(folder)
     file, kind, _, index, _ = reader.open(files[0]["path"])
     assert kind.itemsize == 2 and index.num_rows == files[0]["n_docs"]
-    held = [x.path for x in reader.store.get_file_info(token_files.fs.FileSelector(reader.place)) if x.path.endswith(".zdict")]
+    held = [x.path for x in reader.store.get_file_info(FileSelector(reader.place)) if x.path.endswith(".zdict")]
     assert len(held) == 1
     with reader.store.open_output_stream(held[0]) as out:
         out.write(b"other")
