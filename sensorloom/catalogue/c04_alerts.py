@@ -382,7 +382,7 @@ relation(
     "robust_grid",
     "SELECT row_number() OVER () - 1 AS pid, ep, en, xp, xn FROM (SELECT * FROM (VALUES (0.50::DOUBLE), (0.55), (0.60), (0.65), (0.70)) a(ep), (VALUES (3), (4), (5)) b(en), (VALUES (0.45::DOUBLE), (0.50), (0.55), (0.60)) c(xp), (VALUES (2), (3)) d(xn) ORDER BY ep, en, xp, xn)",
 )
-searched("robust_search", "robust_grid", "fold_robust")
+searched("robust_search", "robust_grid", "fold_robust_grid")
 
 
 @query(
@@ -395,3 +395,37 @@ def t04r(spark, sf):
     """The robust search: 120 candidates, gaps freeze the machine, no missed fault at all, and latency against a baseline."""
     baseline = spark.range(1).select(F.lit(100.0).alias("median_latency"))
     return search_figures(policy_search(spark, sf, alerts.robust_grid(), gap=True, baseline=baseline, any_fault=True))
+
+
+THRESHOLDS = (0.40, 0.45, 0.50, 0.55, 0.60)  # the pseudo-probabilities rarely exceed 0.6
+relation(
+    "abstention_search",
+    f"""WITH g AS (SELECT t, n FROM (VALUES {', '.join(f'({t}::DOUBLE)' for t in THRESHOLDS)}) a(t), (VALUES (2), (3), (4)) b(n)),
+     d AS (SELECT run_id, tick, elapsed, fault_class, fault_start, healthy_part, t, CASE WHEN confidence >= t THEN predicted ELSE 'uncertain' END AS diagnosis FROM validation_rows, (SELECT DISTINCT t FROM g)),
+     cov AS (SELECT t, avg((diagnosis <> 'uncertain')::INT) AS coverage, count(*) FILTER (healthy_part) * 10.0 / 3600.0 AS hours FROM d GROUP BY 1),
+     hits AS (SELECT t, run_id, elapsed, row_number() OVER (PARTITION BY t, run_id, i ORDER BY tick) AS k FROM (
+        SELECT *, tick - row_number() OVER (PARTITION BY t, run_id ORDER BY tick) AS i FROM d WHERE diagnosis = fault_class AND elapsed >= fault_start)),
+     runs_ AS (SELECT DISTINCT run_id, fault_start FROM d WHERE fault_start IS NOT NULL),
+     det AS (SELECT g.t, g.n, r.run_id, min(h.elapsed) FILTER (h.k = g.n) - any_value(r.fault_start) AS latency FROM g CROSS JOIN runs_ r LEFT JOIN hits h ON h.t = g.t AND h.run_id = r.run_id GROUP BY 1, 2, 3),
+     missed AS (SELECT t, n, count(*) FILTER (latency IS NULL) AS missed, quantile_cont(latency, 0.5) AS median_latency FROM det GROUP BY 1, 2),
+     isl AS (SELECT t, run_id, diagnosis, i, count(*) AS len FROM (
+        SELECT *, row_number() OVER (PARTITION BY t, run_id ORDER BY tick) - row_number() OVER (PARTITION BY t, run_id, diagnosis ORDER BY tick) AS i FROM d WHERE healthy_part) GROUP BY 1, 2, 3, 4),
+     alarms AS (SELECT g.t, g.n, count(*) FILTER (isl.len >= g.n AND diagnosis NOT IN ('N', 'uncertain')) AS events FROM g JOIN isl ON isl.t = g.t GROUP BY 1, 2)
+     SELECT t AS threshold, n AS persistence, missed, median_latency, events / hours AS rate, coverage, missed > 1 AS rejected FROM g JOIN missed USING (t, n) JOIN alarms USING (t, n) JOIN cov USING (t)""",
+    "validation_rows",
+)
+
+
+@query(
+    "T04_select_threshold",
+    """SELECT threshold, persistence, missed AS missed_runs, median_latency, round(rate, 6) AS false_alarms_per_healthy_hour, round(coverage, 9) AS coverage, rejected,
+       row_number() OVER (ORDER BY rejected, rate, median_latency NULLS LAST, -coverage, threshold, persistence) = 1 AS chosen FROM abstention_search""",
+    ("abstention_search",),
+)
+def t04t(spark, sf):
+    """The search over confidence thresholds and persistence; where every candidate is rejected the best of them is taken."""
+    from sensorloom.plans import evaluation
+
+    rows = evaluated(spark, sf).filter(F.col("split") == "validation")
+    out = evaluation.abstention_search(rows, "N", THRESHOLDS)
+    return out.withColumns({"false_alarms_per_healthy_hour": F.round("false_alarms_per_healthy_hour", 6), "coverage": F.round("coverage", 9)})
