@@ -4,12 +4,14 @@ A machine is a tuple ``(confirmed, candidate, streak, exit_streak)`` of small in
 ``confirmed`` is the confirmed class or -1, ``candidate`` the class whose entry streak is
 being counted (entry while healthy, switch while confirmed) or -1. The number of
 distinct machines is small, which makes whole blocks composable (see
-:func:`block_transfer`).
+:func:`transfer`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 NONE = -1
 START = (NONE, NONE, 0, 0)
@@ -58,19 +60,74 @@ def machines(classes: int, healthy: int, policy: Policy):
     return out
 
 
-def block_transfer(rows, classes: int, healthy: int, policy: Policy):
+class Table:
+    """The machine of one policy as tables over numbered states and inputs, filled by :func:`advance`.
+
+    An input is a row's diagnosis and its three flags; there are ``8 * classes`` of them, and few states. Stepping through a
+    series is one look-up per row, whatever the rules are.
+    """
+
+    def __init__(self, classes: int, healthy: int, policy: Policy):
+        self.states = machines(classes, healthy, policy)
+        self.number = {m: i for i, m in enumerate(self.states)}
+        self.following: list[list[int]] = []
+        self.events: dict[tuple[int, int], tuple] = {}
+        for i, machine in enumerate(self.states):
+            row = []
+            for symbol in range(8 * classes):
+                diagnosis, qualifies, *_ = unpacked(symbol)
+                if qualifies and diagnosis == healthy:
+                    row.append(NONE)  # no row has this input
+                    continue
+                after, event = advance(machine, *unpacked(symbol), policy)
+                row.append(self.number.setdefault(after, len(self.number)))
+                if event is not None:
+                    self.events[i, symbol] = event
+            self.following.append(row)
+        if len(self.number) > len(self.states):
+            raise ValueError("a machine is reached that is not among the listed ones")
+
+    def run(self, symbols: Sequence[int], start=START) -> list[int]:
+        """Number of the state before each row, and after the last one."""
+        following = self.following
+        return list(accumulate(symbols, lambda state, symbol: following[state][symbol], initial=self.number[start]))
+
+
+def packed(diagnosis, qualifies, healthy_evidence, valid):
+    """Number of an input; works on arrays."""
+    return diagnosis * 8 + qualifies * 4 + healthy_evidence * 2 + valid * 1
+
+
+def unpacked(symbol: int) -> tuple[int, bool, bool, bool]:
+    return symbol >> 3, bool(symbol & 4), bool(symbol & 2), bool(symbol & 1)
+
+
+def transfer(symbols: Sequence[int], table: Table) -> dict:
     """End machine for every possible start machine of a block.
 
     Starts that reach the same machine are advanced together from then on, so the cost
     soon falls to that of a single pass.
     """
-    current = {m: [m] for m in machines(classes, healthy, policy)}
-    for row in rows:
-        following: dict = {}
-        for machine, starts in current.items():
-            following.setdefault(advance(machine, *row, policy)[0], []).extend(starts)
-        current = following
-    return {start: end for end, starts in current.items() for start in starts}
+    current = {i: [i] for i in range(len(table.states))}
+    rest = iter(symbols)
+    for symbol in rest:
+        merged: dict[int, list[int]] = {}
+        for state, starts in current.items():
+            merged.setdefault(table.following[state][symbol], []).extend(starts)
+        current = merged
+        if len(current) == 1:
+            break
+    ends = {}
+    left = list(rest)
+    for state, starts in current.items():
+        end = table.run(left, table.states[state])[-1]
+        ends.update({table.states[start]: table.states[end] for start in starts})
+    return ends
+
+
+def block_transfer(rows, classes: int, healthy: int, policy: Policy) -> dict:
+    """:func:`transfer` of rows (diagnosis, qualifies, healthy evidence, valid)."""
+    return transfer([packed(*row) for row in rows], Table(classes, healthy, policy))
 
 
 def encode(machine) -> str:

@@ -50,15 +50,14 @@ def argmax_class(classes: Sequence[str], prefix: str = "p_") -> Column:
 
 
 def _inputs(pdf: pd.DataFrame, classes, healthy: int, policies, prefix: str):
-    """Row tuples for :func:`hysteresis.advance`, one list per policy."""
+    """Inputs of the machine, one number per row, for each policy."""
     scores = pdf[[prefix + c for c in classes]].to_numpy(dtype=float)
     diagnosis = scores.argmax(axis=1)
     top, calm = scores.max(axis=1), scores[:, healthy]
     valid = pdf["_valid"].to_numpy(dtype=bool)
     fault = diagnosis != healthy
     for policy in policies:
-        qualifies = fault & (top >= policy.entry_probability)
-        yield list(zip(diagnosis.tolist(), qualifies.tolist(), (calm >= policy.exit_probability).tolist(), valid.tolist(), strict=True))
+        yield hy.packed(diagnosis, fault & (top >= policy.entry_probability), calm >= policy.exit_probability, valid)
 
 
 def _state_names(classes, healthy: int):
@@ -108,8 +107,8 @@ def alert_fold(
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         out = []
-        for index, rows in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
-            table = hy.block_transfer(rows, len(classes), calm, policies[index])
+        for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
+            table = hy.transfer(symbols.tolist(), hy.Table(len(classes), calm, policies[index]))
             out.append((index, json.dumps({hy.encode(a): hy.encode(b) for a, b in table.items()})))
         head = pdf.iloc[0]
         frame = pd.DataFrame(out, columns=["policy_id", "table"])
@@ -138,27 +137,25 @@ def alert_fold(
         part, usable = pdf["_part"].to_numpy(dtype=bool), pdf["_valid"].to_numpy(dtype=bool)
         name = _state_names(classes, calm)
         out = []
-        for index, rows in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
-            machine = hy.decode(given.get(str(index)))
-            policy = policies[index]
-            alarmed = np.zeros(len(rows), dtype=bool)
-            for i, row in enumerate(rows):
-                machine, event = hy.advance(machine, *row, policy)
-                if event is not None:
-                    kind, before, after = event
-                    fault = classes[after if after != hy.NONE else before]
-                    out.append((index, int(positions[i]), float(times[i]), kind, name(before), name(after), fault, 0, 0, 0))
-                confirmed, candidate = machine[0], machine[1]
-                alarmed[i] = row[3] and (confirmed != hy.NONE or candidate != hy.NONE)
-                if row_states:
-                    label = (
-                        "insufficient_data"
-                        if not row[3]
-                        else name(confirmed)
-                        if confirmed != hy.NONE or candidate == hy.NONE
-                        else f"pending_{classes[candidate]}"
-                    )
-                    out.append((index, int(positions[i]), float(times[i]), "state", None, label, None, 0, 0, 0))
+        for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
+            table = hy.Table(len(classes), calm, policies[index])
+            visited = np.array(table.run(symbols.tolist(), hy.decode(given.get(str(index)))))
+            before, after = visited[:-1], visited[1:]
+            busy = np.array([m[0] != hy.NONE or m[1] != hy.NONE for m in table.states])
+            alarmed = usable & busy[after]
+            eventful = np.zeros((len(table.states), 8 * len(classes)), dtype=bool)
+            for state, symbol in table.events:
+                eventful[state, symbol] = True
+            for i in np.flatnonzero(eventful[before, symbols]).tolist():
+                kind, left, entered = table.events[before[i], symbols[i]]
+                fault = classes[entered if entered != hy.NONE else left]
+                out.append((index, int(positions[i]), float(times[i]), kind, name(left), name(entered), fault, 0, 0, 0))
+            if row_states:
+                label = lambda m: name(m[0]) if m[0] != hy.NONE or m[1] == hy.NONE else f"pending_{classes[m[1]]}"
+                labels = [label(m) for m in table.states]
+                for i, state in enumerate(after.tolist()):
+                    text = labels[state] if usable[i] else "insufficient_data"
+                    out.append((index, int(positions[i]), float(times[i]), "state", None, text, None, 0, 0, 0))
             if not row_states and part.any():
                 last = float(times[part].max())
                 counts = (int(part.sum()), int((part & usable).sum()), int((part & alarmed).sum()))
