@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.catalogue.c04_alerts import evaluated
 from sensorloom.catalogue.c06_features import KEYS, SPEC, built, exported, fault_runs, long_tables, truth
-from sensorloom.catalogue.registry import query, relation
+from sensorloom.catalogue.registry import ORACLES, query, relation
 from sensorloom.lineage import cut_lineage
 from sensorloom.operators import audit, fingerprints, joins, metrics, series
 from sensorloom.sources import dataset, files
@@ -769,3 +769,50 @@ def q19k(spark, sf):
     }
     parts = [fingerprints.misaligned_keys(rows, other, ["run_id", "tick"]).select(F.lit(name).alias("variant"), "rows", "keys") for name, other in variants.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _of(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+FULL_AUDIT = " UNION ALL ".join(
+    [
+        f'SELECT "check", severity, category, CAST(rows AS BIGINT) AS rows, detail FROM {_of("Q20_run_audit")}',
+        f"SELECT 'plan_counts', 'blocking', 'structural', count(*), '' FROM {_of('Q05_plan_counts')} HAVING count(*) > 0",
+        f"SELECT 'split:' || \"check\", 'blocking', 'structural', rows, '' FROM {_of('Q06_split_checks')} WHERE rows > 0",
+        f"SELECT 'reference:' || side, CASE side WHEN 'unknown_run' THEN 'blocking' ELSE 'high' END, 'structural', count(*), '' FROM ({DANGLING}) GROUP BY side",
+        f"SELECT 'non_monotonic', 'blocking', 'structural', non_monotonic, '' FROM {_of('Q08_cadence_findings')} WHERE non_monotonic > 0",
+        f"SELECT 'bad_cadence', 'blocking', 'structural', bad_cadence, '' FROM {_of('Q08_cadence_findings')} WHERE bad_cadence > 0",
+        f"SELECT 'unit:' || measurement_type, 'blocking', 'structural', units, names FROM {_of('Q09_unit_per_measurement')}",
+        f"SELECT 'duplicate_keys', 'blocking', 'structural', rows, examples FROM {_of('Q10_duplicate_keys')} WHERE rows > 0",
+        f"SELECT 'row_counts', 'blocking', 'structural', count(*), '' FROM {_of('Q03_manifest_row_counts')} HAVING count(*) > 0",
+        f"SELECT 'trivially_separable', 'low', 'separability', count(*), '' FROM {_of('Q16_trivially_separable')} WHERE flagged HAVING count(*) > 0",
+    ]
+)
+
+
+@query("Q20_full_audit", FULL_AUDIT)
+def q20f(spark, sf):
+    """Structure, labels, variation, signatures, separability and leakage in one table of findings."""
+    total = F.count(F.lit(1))
+    counted = lambda df, name, severity, category: audit.finding(df.agg(total.alias("n")), name, severity, category, F.col("n"))
+    named = lambda df, prefix, column, rows, detail: df.select(
+        F.concat(F.lit(prefix), F.col(column)).alias("check"), F.lit("blocking").alias("severity"), F.lit("structural").alias("category"),
+        F.col(rows).cast("long").alias("rows"), detail.cast("string").alias("detail"),
+    ).filter("rows > 0")
+    lost = named(q07(spark, sf), "reference:", "check", "rows", F.lit(""))
+    steps = q08(spark, sf)
+    parts = [
+        counted(q05(spark, sf), "plan_counts", "blocking", "structural"),
+        named(q06(spark, sf), "split:", "check", "rows", F.lit("")),
+        lost.withColumn("severity", F.when(F.col("check") == "reference:unknown_run", "blocking").otherwise("high")),
+        *[audit.finding(steps, name, "blocking", "structural", F.col(name)) for name in ("non_monotonic", "bad_cadence")],
+        named(q09(spark, sf), "unit:", "measurement_type", "units", F.col("names")),
+        audit.finding(q10(spark, sf), "duplicate_keys", "blocking", "structural", F.col("rows"), F.col("examples")),
+        counted(q03(spark, sf), "row_counts", "blocking", "structural"),
+        counted(q16(spark, sf).filter("flagged"), "trivially_separable", "low", "separability"),
+    ]
+    out = findings(spark, sf)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
