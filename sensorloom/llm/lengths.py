@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sensorloom.lineage import stored
 from sensorloom.llm import bpe
 from sensorloom.llm.words import forgetting
 
@@ -21,7 +22,7 @@ LENGTH_BITS = 12  # lengths with the same leading part share one window of the s
 
 
 def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(length, n_docs) over all documents; every task sends one row per length it has met."""
+    """(length, n_docs) over all documents, written once; every task sends one row per length it has met."""
     content = bpe.vocabulary(docs.sparkSession, path)
 
     def run(batches):
@@ -32,7 +33,7 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([pa.array(lengths), pa.array(n)], names=["length", "n_docs"])
 
     found = docs.select(docs[text_col].alias("text")).mapInArrow(forgetting(run), "length long, n_docs long")
-    return found.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(found.groupBy("length").agg(F.sum("n_docs").alias("n_docs")), "length-histogram")
 
 
 def context_report(histogram: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ null. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ from sensorloom.llm.words import forgetting
 
 WINDOW = 1024
 SHARD_TOKENS = 1 << 20  # tail tokens of one shard, which one task packs in memory
+END = 0  # the id that ends every document
 QUERY_TERMS = 32  # a seed is queried by its terms of highest weight
 K1, B = 1.2, 0.75
 
@@ -134,15 +136,32 @@ class Index:
         idf = stats.idf()
         mean = stats.tokens / max(1, stats.units)
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.unit] / mean))
-        # a unit's own terms of highest weight are its query
+        # a unit's own terms of highest weight are its query, without the end token, which every unit holds
         order = np.lexsort((terms, -self.weight, self.unit))
+        order = order[terms[order] != END]
         heads = np.searchsorted(self.unit[order], np.arange(len(tails) + 1))
         self.queries = [terms[order[heads[k] : min(heads[k + 1], heads[k] + QUERY_TERMS)]] for k in range(len(tails))]
         self.n = len(tails)
 
-    def scores(self, seed: int) -> np.ndarray:
+    def met(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units that hold a term of the seed's query, ascending, and their scores."""
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed]]
-        return np.bincount(np.concatenate([self.unit[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        if not spans:
+            return np.empty(0, np.int64), np.empty(0)
+        units, place = np.unique(np.concatenate([self.unit[s] for s in spans]), return_inverse=True)
+        return units, np.bincount(place, np.concatenate([self.weight[s] for s in spans]), len(units))
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Scores of all units."""
+        out = np.zeros(self.n)
+        units, found = self.met(seed)
+        out[units] = found
+        return out
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """The units met, the most similar first (the first unit where scores are equal)."""
+        units, found = self.met(seed)
+        return units[np.argsort(-found, kind="stable")]
 
 
 def fill_windows(tails: list[np.ndarray], stats: Statistics, window: int) -> list[tuple[int, int, int, int, int]]:
@@ -151,7 +170,7 @@ def fill_windows(tails: list[np.ndarray], stats: Statistics, window: int) -> lis
     unused = np.array([len(t) > 0 for t in tails], bool)
     pieces, number, offset, after = [], 0, 0, 0
     seed, at = -1, 0  # the unit in hand and its first id that is not yet placed
-    scores = None
+    similar: Iterator[int] = iter(())
     while True:
         if seed < 0:  # a new window, or nothing similar is left: the next unused unit
             while after < len(tails) and not unused[after]:
@@ -161,7 +180,7 @@ def fill_windows(tails: list[np.ndarray], stats: Statistics, window: int) -> lis
             seed, at = after, 0
             unused[seed] = False
         if offset == 0:
-            scores = np.where(unused, index.scores(seed), 0.0)
+            similar = iter(index.neighbours(seed).tolist())
         take = min(window - offset, len(tails[seed]) - at)
         pieces.append((seed, at, take, number, offset))
         at, offset = at + take, offset + take
@@ -170,10 +189,9 @@ def fill_windows(tails: list[np.ndarray], stats: Statistics, window: int) -> lis
             if at == len(tails[seed]):
                 seed = -1
             continue
-        best = int(scores.argmax())
-        seed, at = (best, 0) if scores[best] > 0 else (-1, 0)
+        seed, at = next((k for k in similar if unused[k]), -1), 0
         if seed >= 0:
-            unused[seed], scores[seed] = False, 0.0
+            unused[seed] = False
     return pieces
 
 
@@ -188,7 +206,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
     id_type = table.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        rows, id_kind = [], None
+        for batch in batches:
+            id_kind = batch.column(0).type
+            rows += zip(*(c.to_pylist() for c in batch.columns))
         if not rows:
             return
         shard = TaskContext.get().partitionId() << 32
@@ -206,7 +227,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
         for at in range(0, len(out), 1 << 16):
             columns = list(zip(*out[at : at + (1 << 16)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string() if id_type == "string" else pa.int64()) for c in columns],
+                [pa.array(columns[0], id_kind), *(pa.array(c, pa.int64()) for c in columns[1:])],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 

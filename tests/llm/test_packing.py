@@ -74,3 +74,17 @@ def test_scores_are_bm25():
 
 def test_empty_table(make_docs):
     assert packing.pack(make_docs([]), PATH).count() == 0
+
+
+def test_ids_of_any_type_and_many_empty_documents(spark):
+    rows = [(k, "" if k % 3 else f"some words of document {k}") for k in range(3000)]
+    for kind in ("int", "string", "smallint", "long"):
+        docs = spark.createDataFrame([(str(k) if kind == "string" else k, t) for k, t in rows], f"doc_id {kind}, text string")
+        out = packing.pack(docs, PATH)
+        assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        pieces = out.collect()
+        assert len({r["doc_id"] for r in pieces}) == 3000
+        sizes = {}
+        for r in pieces:
+            sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
+        assert sum(v < packing.WINDOW for v in sizes.values()) <= 1
