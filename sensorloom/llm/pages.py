@@ -5,7 +5,8 @@ also holds the title and lead beside it, and votes for the generalised path of t
 page is extracted again from the containers on its host's winning path. A page that has no text there uses its own best container.
 
 What belongs to menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments is
-left out by tag, role and class. Character references are decoded, white space inside a block becomes one space, and
+left out by tag, role and class or id; a name counts if every word of it speaks for that, and ids of headings, paragraphs
+and inline elements never count. Of an article's own header the headings stay. Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by line ends in page order.
 
 A null or empty html gives an empty text; a null url has the empty host. Repeated rows are extracted each, null ids
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|math|object|video|audio|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title|annotation|object|video|audio|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
     re.S | re.I,
@@ -33,7 +34,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mspace mstyle semantics".split()
 )
 LEFT_OUT = frozenset("nav header footer aside form button menu dialog head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -43,9 +45,17 @@ CLASSES = frozenset(
     "social related recommended newsletter subscribe signup login form search toolbar pager pagination widget".split()
 )
 GOOD = frozenset("article content post entry story main body text".split())
+# words that only say where a part stands or how it looks
+NEUTRAL = frozenset(
+    "site page main global primary secondary top bottom left right inner outer list item items box area section wrapper wrap container block bar panel group "
+    "row column link links button buttons icon icons default fixed sticky mobile desktop small large".split()
+)
+# parts of these names are left out even where they are called a story's or a post's
+APART = frozenset("ad ads advert adverts sidebar aside nav navigation menu footer comment comments replies share sharing related pagination newsletter".split())
 ENDS = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 SCOPE = {"li": frozenset(("ul", "ol", "menu")), "td": frozenset(("table",)), "th": frozenset(("table",)), "tr": frozenset(("table",)), "dt": frozenset(("dl",)), "dd": frozenset(("dl",))}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TITLED = HEADINGS | INLINE | {"p", "li", "dt", "dd"}  # their ids are mostly made from titles
 DECAY = 0.9
 BONUS = 1.3
 
@@ -92,8 +102,17 @@ class Page:
         return paths
 
 
+def is_apart(name: str) -> bool:
+    """Does a class or id name a part beside the text? Every word of it must speak for that, so that titles used as ids do not."""
+    words = re.findall(r"[a-z]+", name)
+    if CLASSES.isdisjoint(words) or not all(w in CLASSES or w in NEUTRAL or w in GOOD for w in words):
+        return False
+    return words[0] not in GOOD - NEUTRAL or words[-1] in APART
+
+
 def _element(tag: str, attributes: str, parent: int) -> Element:
     words: list[str] = []
+    names: list[str] = []
     role = ""
     classes: list[str] = []
     if attributes:
@@ -105,10 +124,13 @@ def _element(tag: str, attributes: str, parent: int) -> Element:
                 words += re.findall(r"[a-z]+", value)
                 if name.lower() == "class":
                     classes = value.split()
+                    names += classes
+                elif tag not in TITLED:
+                    names += value.split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
     plain = tag in ("html", "body", "main")
     return Element(
-        tag, parent, step, not plain and (tag in LEFT_OUT or role in ROLES), not plain and not CLASSES.isdisjoint(words),
+        tag, parent, step, not plain and (tag in LEFT_OUT or role in ROLES), not plain and any(map(is_apart, names)),
         tag in ("article", "main") or role in ("main", "article") or (not plain and not GOOD.isdisjoint(words)),
     )
 

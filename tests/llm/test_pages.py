@@ -38,3 +38,30 @@ def test_title_and_lead_outside_the_content_div(spark):
     rows = [(k, f"http://{h}.example/{k}", f"<body><nav><a>Home</a></nav>{source}<footer>F</footer></body>") for h, source in outer.items() for k in range(2)]
     got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {(r["url"][7], r["text"]) for r in got} == {(h, whole) for h in outer}
+
+
+def test_titles_as_ids_math_and_names_inside_an_article():
+    source = """<body><div id="site-nav">Menu</div><article><h1>Title</h1><h2 id="related-work">Related work</h2><p id="comments">First.</p>
+    <h2 id="search-algorithms">Search</h2><section id="comments-on-the-theory"><p>Theory with <math><mi>x</mi></math> kept.</p></section>
+    <div class="story-form"><p>A form of story.</p></div><div class="post-comments"><p>Reader.</p></div><div class="cookie-banner box2">Cookies</div>
+    <div class="main-navigation"><p>Go</p></div><p>Last <span class="text-promotion-law" id="ad">words</span>.</p></article><div class="sidebar-left"><p>Side</p></div></body>"""
+    assert pages.extract(source, None) == "Title\nRelated work\nFirst.\nSearch\nTheory with x kept.\nA form of story.\nLast words."
+
+
+def test_names_of_parts_beside_the_text():
+    beside = "sidebar ad-box site-header main-menu comment-list comment-body post-comments entry-footer nav2 cookie_banner widget footer-links article-share"
+    inside = "no-sidebar with-sidebar story-form related-work comments-on-the-theory article content post-title adventure search-algorithms entry-header text-promotion"
+    assert all(map(pages.is_apart, beside.split())) and not any(map(pages.is_apart, inside.split()))
+
+
+def test_two_templates_on_one_host(spark):
+    shape = {"a": "<div class='wrap'><article class='t1'><h1>%s</h1><p>%s</p></article><div class='x'><p>box</p></div></div>",
+             "b": "<main><h1>%s</h1><div class='entry-content'><p>%s</p></div></main><div class='sidebar'><p>box</p></div>"}
+    rows = [(k, f"http://one.example/{k}", f"<body>{shape['ab'[k % 3 == 0]]}</body>" % (f"Title {k}", f"page {k} words " * 15)) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\n" + (f"page {k} words " * 15).strip() for k in range(12)}
+
+
+def test_a_very_long_page():
+    text = pages.extract("<article>" + "<p>words of a paragraph</p>" * 60_000 + "</article>", None)
+    assert text.count("\n") == 59_999
