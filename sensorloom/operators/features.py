@@ -19,10 +19,13 @@ WARMUP = max(FRAMES)
 
 # Columns that must never reach a model.
 FORBIDDEN = frozenset(
-    """dataset_id simulation_run_id observation_id class_label scenario_name seed run_start_time
-    fault_start_sim_seconds fault_duration_sim_seconds fault_severity sensor_corruption_type fault_type
-    fault_active seconds_since_fault_start target_asset_id split status error_message sensor_noise_json
-    observation_count ground_truth_row_count sample_count timestamp elapsed_sim_seconds asset_id""".split()
+    (
+        "dataset_id", "simulation_run_id", "observation_id", "class_label", "scenario_name", "seed",
+        "run_start_time", "fault_start_sim_seconds", "fault_duration_sim_seconds", "fault_severity",
+        "sensor_corruption_type", "fault_type", "fault_active", "seconds_since_fault_start",
+        "target_asset_id", "split", "status", "error_message", "sensor_noise_json", "observation_count",
+        "ground_truth_row_count", "sample_count", "timestamp", "elapsed_sim_seconds", "asset_id",
+    )
 )
 
 
@@ -190,11 +193,6 @@ def build_features(df: DataFrame, spec: FeatureSpec, keys: Sequence[str], pos: s
     return drop_warmup(with_point_features(with_windows(df, spec, keys, pos, elapsed), spec), pos, max(spec.frames))
 
 
-def non_finite_columns(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Names of feature columns without a finite value (a data error, not a rejection)."""
-    return F.array_compact(F.array(*[F.when(~is_finite(F.col(c)), F.lit(c)) for c in columns]))
-
-
 def ground_truth(samples: DataFrame, runs: DataFrame, key: str = "run_id", elapsed: str = "elapsed") -> DataFrame:
     """Active from fault start to the end of the run; severity ramps over the fault duration.
 

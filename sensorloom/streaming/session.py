@@ -38,6 +38,16 @@ PENDING = "seen long, place long, names array<string>, values array<double>, uni
 TOP_RESIDUALS = 2  # of the evidence of a prediction
 MAX_EVIDENCE = 5
 
+# Texts of quality rows and evidence items.
+LATE = "timestamp {at} does not follow the asset's last processed sample {last}"
+CONFLICT = "measurement {name!r} conflicts with an already-buffered value for this asset/timestamp"
+EVICTED = "evicted to stay within max_buffered_timestamps_per_asset; missing measurement(s): {}"
+TIMED_OUT = "missing measurement(s) after timeout: {}"
+ENDED = "missing measurement(s) at end of input: {}"
+RESIDUAL = "observed minus fixed healthy reference curve"
+EXIT_PROGRESS = "confirmed_{name}: exit_streak {n}/{of} consecutive healthy-qualifying samples"
+ENTRY_PROGRESS = "pending_{name}: {n}/{of} consecutive qualifying samples"
+
 
 @dataclass(frozen=True)
 class SessionConfig:
@@ -64,20 +74,20 @@ def ingest(state: dict, event: dict, now_ms: int, config: SessionConfig) -> list
     ts, name, value, unit = event["ts"], event["measurement_type"], event["value"], event["unit"]
     cause = event.get("event_id")
     if state["last"] is not None and ts <= state["last"]:
-        why = f"timestamp {iso(ts)} does not follow the asset's last processed sample {iso(state['last'])}"
+        why = LATE.format(at=iso(ts), last=iso(state["last"]))
         return [_reject(ts, "late", why, cause)]
     out = []
     pending = state["pending"].get(ts)
     if pending is None:
         if len(state["pending"]) >= config.max_pending:
             oldest = next(iter(state["pending"]))
-            out.append(_incomplete(state, oldest, "evicted to stay within max_buffered_timestamps_per_asset; missing measurement(s): {}", config))
+            out.append(_incomplete(state, oldest, EVICTED, config))
         pending = state["pending"][ts] = {"seen": now_ms, "values": {}, "units": {}}
     if name in pending["values"]:
         if pending["values"][name] == value and pending["units"][name] == unit:
             return out
         del state["pending"][ts]
-        why = f"measurement {name!r} conflicts with an already-buffered value for this asset/timestamp"
+        why = CONFLICT.format(name=name)
         return [*out, _reject(ts, "conflicting_duplicate", why, cause)]
     pending["values"][name], pending["units"][name] = value, unit
     if all(m in pending["values"] for m in config.required):
@@ -90,12 +100,12 @@ def ingest(state: dict, event: dict, now_ms: int, config: SessionConfig) -> list
 def timed_out(state: dict, now_ms: int, config: SessionConfig) -> list[dict]:
     """Put out the half-filled samples whose time is over."""
     gone = [ts for ts, p in state["pending"].items() if now_ms - p["seen"] >= config.timeout_seconds * 1000]
-    return [_incomplete(state, ts, "missing measurement(s) after timeout: {}", config) for ts in gone]
+    return [_incomplete(state, ts, TIMED_OUT, config) for ts in gone]
 
 
 def flushed(state: dict, config: SessionConfig) -> list[dict]:
     """Put out all half-filled samples: no more input will come."""
-    return [_incomplete(state, ts, "missing measurement(s) at end of input: {}", config) for ts in list(state["pending"])]
+    return [_incomplete(state, ts, ENDED, config) for ts in list(state["pending"])]
 
 
 def reset(state: dict) -> None:
@@ -187,15 +197,15 @@ def evidence(features: dict, result: dict, machine: Sequence[int], config: Sessi
     items = [("top_class_probability", ranked[0][1], f"{ranked[0][0]} (diagnosed: {result['diagnosed_class']})")]
     items += [("runner_up_class_probability", ranked[1][1], ranked[1][0])] if len(ranked) > 1 else []
     residuals = sorted(((r.name, features[r.name]) for r in config.spec.residuals), key=lambda p: (-abs(p[1]), p[0]))
-    items += [(f"residual:{name}", value, "observed minus fixed healthy reference curve") for name, value in residuals[:TOP_RESIDUALS]]
+    items += [(f"residual:{name}", value, RESIDUAL) for name, value in residuals[:TOP_RESIDUALS]]
     if config.policy is not None:
         confirmed, candidate, streak, exits = machine
         names, policy = config.scorer.classes, config.policy
         if confirmed != hy.NONE:
-            text = f"confirmed_{names[confirmed]}: exit_streak {exits}/{policy.exit_persistence} consecutive healthy-qualifying samples"
+            text = EXIT_PROGRESS.format(name=names[confirmed], n=exits, of=policy.exit_persistence)
             items.append(("alert_exit_progress", exits / policy.exit_persistence, text))
         elif candidate != hy.NONE:
-            text = f"pending_{names[candidate]}: {streak}/{policy.entry_persistence} consecutive qualifying samples"
+            text = ENTRY_PROGRESS.format(name=names[candidate], n=streak, of=policy.entry_persistence)
             items.append(("alert_entry_progress", streak / policy.entry_persistence, text))
     return items[:MAX_EVIDENCE]
 
