@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.functions.scalar import derive_label, is_finite, safe_divide
+from sensorloom.functions.scalar import derive_label, safe_divide
 from sensorloom.operators import series
 
 # Cadence, frames and statistics of the feature set.
