@@ -25,8 +25,8 @@ from sensorloom.llm.words import Numbered, forgetting, worker_cache
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 SLICE_CHARS = 1 << 20  # a longer text is encoded in slices, cut where no word can span
-CACHE_CHUNKS = 1 << 18  # distinct chunks kept before those used once are forgotten,
-CACHE_BYTES = 96 << 20  # or about as many bytes
+CACHE_CHUNKS = 1 << 19  # distinct chunks kept before those used once are forgotten,
+CACHE_BYTES = 200 << 20  # or about as many bytes
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -228,8 +228,8 @@ class Encoder:
         ids = self.flat[_spread(self.starts[index], lengths)] if len(index) else self.flat[:0].copy()
         ends = np.r_[0, np.cumsum(lengths)]
         counts = np.diff(ends[np.r_[0, np.cumsum(np.array(per_text, np.int64))]])
-        used, times = np.unique(index, return_counts=True)
-        self.numbers.count(used, times)
+        times = np.bincount(index, minlength=len(self.numbers))
+        self.numbers.count(np.arange(len(times)), times)
         if len(self.numbers) > CACHE_CHUNKS or self.numbers.held > CACHE_BYTES:
             self._forget()
         return ids, counts

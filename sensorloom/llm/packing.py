@@ -148,8 +148,9 @@ class Index:
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed]]
         if not spans:
             return np.empty(0, np.int64), np.empty(0)
-        units, place = np.unique(np.concatenate([self.unit[s] for s in spans]), return_inverse=True)
-        return units, np.bincount(place, np.concatenate([self.weight[s] for s in spans]), len(units))
+        scores = np.bincount(np.concatenate([self.unit[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        units = np.flatnonzero(scores)
+        return units, scores[units]
 
     def scores(self, seed: int) -> np.ndarray:
         """Scores of all units."""
