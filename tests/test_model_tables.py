@@ -32,7 +32,7 @@ def test_fits_write_the_columns_they_use_only(spark, lines, monkeypatch):
     monkeypatch.setattr(c11_models, "stored", catch)
     monkeypatch.setattr(c11_models.models, "train_boosted", lambda train, columns, settings: c11_models.models.train_logistic(train, columns, 1.0))
     expected = {"true_class", "label", "weight", *c11_models.RAW}
-    for query in (c11_models.m01, c11_models.m05, c11_models.m06):
+    for query in (c11_models.m01, c11_models.m02, c11_models.m05, c11_models.m06):
         written.clear()
         assert query(spark, lines).count() > 0
         assert written["train"] == expected and all(columns == expected for columns in written.values())
