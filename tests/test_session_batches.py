@@ -56,3 +56,18 @@ def test_features_of_every_window_at_once():
         last = window[i + 11][1]
         assert (problems[i] == "near_zero_denominator") == (last["b"] < 1.0) == math.isnan(found["a_per_b"][i])
         assert found["rest"][i] == last["a"] - (0.5 + last["b"] / 10.0 * 0.2)
+
+
+def test_a_replay_is_read_by_as_many_tasks_as_run_at_a_time(spark, tmp_path, monkeypatch):
+    from sensorloom.catalogue import load
+
+    load()  # relations of one module build on those of others
+    from sensorloom.catalogue import c10_streaming
+
+    seen, write = [], c10_streaming.replay.write_arrivals
+    monkeypatch.setattr(c10_streaming.replay, "write_arrivals", lambda rows, path, key, chunks, files=2: (seen.append(files), write(rows, path, key, chunks, files)))
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double"
+    rows = [(k, n, 1, 1, float(n), 0.0 if k % 3 == 0 else 0.05, 0.05) for k in range(30) for n in range(1, 4)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {(r["reason"], r["malformed"]): r["n"] for r in c10_streaming.r08k(spark, str(tmp_path)).groupBy("reason", "malformed").sum("rows").toDF("reason", "malformed", "n").collect()}
+    assert found == {("malformed", "unsupported_version"): 30} and seen == [spark.sparkContext.defaultParallelism]
