@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,16 @@ def _inputs(pdf: pd.DataFrame, classes, healthy: int, policies, prefix: str):
         yield hy.packed(diagnosis, fault & (top >= policy.entry_probability), calm >= policy.exit_probability, valid)
 
 
+@lru_cache(maxsize=1_024)
+def _marks(classes: int, healthy: int, policy: hy.Policy) -> tuple[np.ndarray, np.ndarray]:
+    """Which states of the machine are not calm, and which (state, input) cause an event."""
+    table = hy.table_of(classes, healthy, policy)
+    eventful = np.zeros((len(table.states), 8 * classes), dtype=bool)
+    for state, symbol in table.events:
+        eventful[state, symbol] = True
+    return np.array([m[0] != hy.NONE or m[1] != hy.NONE for m in table.states]), eventful
+
+
 def _state_names(classes, healthy: int):
     name = lambda c: classes[healthy] if c == hy.NONE else f"confirmed_{classes[c]}"
     return name
@@ -108,7 +119,7 @@ def alert_fold(
         pdf = pdf.sort_values("_pos")
         out = []
         for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
-            table = hy.transfer(symbols.tolist(), hy.Table(len(classes), calm, policies[index]))
+            table = hy.transfer(symbols.tolist(), hy.table_of(len(classes), calm, policies[index]))
             out.append((index, json.dumps({hy.encode(a): hy.encode(b) for a, b in table.items()})))
         head = pdf.iloc[0]
         frame = pd.DataFrame(out, columns=["policy_id", "table"])
@@ -138,14 +149,11 @@ def alert_fold(
         name = _state_names(classes, calm)
         out = []
         for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
-            table = hy.Table(len(classes), calm, policies[index])
+            table = hy.table_of(len(classes), calm, policies[index])
+            busy, eventful = _marks(len(classes), calm, policies[index])
             visited = np.array(table.run(symbols.tolist(), hy.decode(given.get(str(index)))))
             before, after = visited[:-1], visited[1:]
-            busy = np.array([m[0] != hy.NONE or m[1] != hy.NONE for m in table.states])
             alarmed = usable & busy[after]
-            eventful = np.zeros((len(table.states), 8 * len(classes)), dtype=bool)
-            for state, symbol in table.events:
-                eventful[state, symbol] = True
             for i in np.flatnonzero(eventful[before, symbols]).tolist():
                 kind, left, entered = table.events[before[i], symbols[i]]
                 fault = classes[entered if entered != hy.NONE else left]
