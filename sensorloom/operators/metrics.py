@@ -294,14 +294,7 @@ def bootstrap_by_run(
         tallies.withColumn("_all", F.lit(0)), ["_all"], ["run_id"], F.floor(F.col("run_id") / 100_000), name="_slot"
     )
     size = tallies.agg(F.count(F.lit(1)).alias("_n"))
-    draws = (
-        indexed.select("_slot")
-        .crossJoin(F.broadcast(size))  # one row: the number of runs
-        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    )
-    text = F.concat_ws(":", F.lit(seed), F.col("resample").cast("string"), F.col("_slot").cast("string"))
-    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    drawn = draws.select("resample", (number % F.col("_n") + 1).alias("_slot")).distinct()
+    drawn = resampled_slots(indexed.select("_slot"), size, resamples, seed).distinct()
     sums = [F.sum(f"_{k}_{i}").alias(f"_{k}_{i}") for k in ("tp", "t") for i in range(len(classes))]
     recalls = F.array_compact(F.array(*[F.when(F.col(f"_t_{i}") > 0, F.col(f"_tp_{i}") / F.col(f"_t_{i}")) for i in range(len(classes))]))
     score = F.aggregate(recalls, F.lit(0.0), lambda a, r: a + r) / F.size(recalls)
@@ -315,6 +308,24 @@ def bootstrap_by_run(
     return point.crossJoin(interval).crossJoin(size.select(F.col("_n").alias("n_runs")))  # one row each
 
 
+def resampled_slots(slots: DataFrame, size: DataFrame, resamples: int, seed: str) -> DataFrame:
+    """The drawn slots of every resample; ``size`` has the number of slots as ``_n``.
+
+    The slots come out of one window in one task, and each has ``resamples`` draws, so they are dealt out first, over a stated
+    number of partitions: few bytes as they are, they would be joined into one again.
+    """
+    spark = slots.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    draws = (
+        slots.repartition(parts, "_slot")
+        .crossJoin(F.broadcast(size))  # one row: the number of runs
+        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    )
+    text = F.concat_ws(":", F.lit(seed), F.col("resample").cast("string"), F.col("_slot").cast("string"))
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return draws.select("resample", (number % F.col("_n") + 1).alias("_slot"))
+
+
 # --- distribution shift ---------------------------------------------------------
 
 
