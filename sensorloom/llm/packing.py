@@ -1,6 +1,6 @@
 """Packing documents into training windows with lexically similar neighbours.
 
-Every document is encoded once and ends with id 0. Its whole windows are sequences of their own; what is left
+Every document is encoded once, by the compiled encoder where it bears the text, and ends with id 0. Its whole windows are sequences of their own; what is left
 (its tail) is a unit of the retrieval. Units are dealt into shards of similar size by the rarest tokens they hold,
 so that similar units lie in one shard; each shard builds a BM25 inverted index over its units, with document
 frequencies and the mean length counted over all units. In a shard, a seed's window is filled greedily with the
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.lineage import stored
-from sensorloom.llm import bpe
+from sensorloom.llm import bpe, token_files
 from sensorloom.llm.words import forgetting
 
 WINDOW = 1024
 SHARD_TOKENS = 1 << 20  # tail tokens of one shard, which one task packs in memory
 END = 0  # the id that ends every document
+ROWS = 512  # documents of a batch that is sent on
 QUERY_TERMS = 32  # a seed is queried by its terms of highest weight
 K1, B = 1.2, 0.75
 
@@ -51,24 +52,13 @@ def units(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_i
     content = bpe.vocabulary(docs.sparkSession, path)
 
     def run(batches):
-        encoder = bpe.loaded(content.value)
+        encoder = token_files.loaded(content.value)
         for batch in batches:
-            done = 0
-            for ids, counts in encoder.encode_batches(batch.column(1).to_pylist()):
-                ends = np.cumsum(counts)
-                rows = {"doc_tokens": [], "full_crcs": [], "tail": [], "key": []}
-                for start, end in zip(ends - counts, ends):
-                    own = np.append(ids[start:end], 0).astype("<u4")
-                    whole = len(own) // window
-                    data = own.tobytes()
-                    rows["doc_tokens"].append(len(own))
-                    rows["full_crcs"].append([zlib.crc32(data[4 * window * k : 4 * window * (k + 1)]) for k in range(whole)])
-                    tail = own[whole * window :]
-                    rows["tail"].append(tail.astype("<u2" if encoder.n_ids <= 65536 else "<u4").tobytes())
-                    rows["key"].append(routing_key(tail))
+            for done in range(0, batch.num_rows, ROWS):
+                rows = tails(encoder, batch.column(1).slice(done, ROWS).to_pylist(), window)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(done, len(counts)),
+                        batch.column(0).slice(done, len(rows["key"])),
                         pa.array(rows["doc_tokens"], pa.int64()),
                         pa.array(rows["full_crcs"], pa.list_(pa.int64())),
                         pa.array(rows["tail"], pa.binary()),
@@ -76,7 +66,6 @@ def units(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_i
                     ],
                     names=["doc_id", "doc_tokens", "full_crcs", "tail", "key"],
                 )
-                done += len(counts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
@@ -84,6 +73,21 @@ def units(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_i
     )
 
 
+def tails(encoder: token_files.Ids, texts: list, window: int) -> dict[str, list]:
+    """The columns of :func:`units` but for the id."""
+    rows = {"doc_tokens": [], "full_crcs": [], "tail": [], "key": []}
+    for text in texts:
+        own = np.append(encoder.of(text), END).astype("<u4")
+        whole = len(own) // window
+        data = own.tobytes()
+        rows["doc_tokens"].append(len(own))
+        rows["full_crcs"].append([zlib.crc32(data[4 * window * k : 4 * window * (k + 1)]) for k in range(whole)])
+        tail = own[whole * window :]
+        rows["tail"].append(tail.astype(encoder.dtype).tobytes())
+        rows["key"].append(routing_key(tail))
+    return rows
+
+
 def routing_key(tail: np.ndarray) -> int:
     """The three highest ids as one number: a vocabulary numbers its tokens from frequent to rare."""
     key, rest = 0, tail

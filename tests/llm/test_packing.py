@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from sensorloom.llm import packing
+from sensorloom.llm import packing, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,3 +88,18 @@ def test_ids_of_any_type_and_many_empty_documents(spark):
         for r in pieces:
             sizes[r["sequence_id"]] = sizes.get(r["sequence_id"], 0) + r["length"]
         assert sum(v < packing.WINDOW for v in sizes.values()) <= 1
+
+
+def test_plain_texts_need_no_merge_rounds(monkeypatch):
+    with open(PATH, "rb") as file:
+        encoder = token_files.Ids(file.read())
+    texts = ["one plain text, and its words", None, "", "more words " * 300]
+    library = Tokenizer.from_file(PATH)
+    expected = [library.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    monkeypatch.setattr(encoder.rounds, "merge_words", lambda *args: 1 / 0)
+    rows = packing.tails(encoder, texts, 64)
+    assert rows["doc_tokens"] == [len(ids) for ids in expected]
+    for ids, crcs, tail in zip(expected, rows["full_crcs"], rows["tail"]):
+        whole = len(ids) // 64
+        assert crcs == [zlib.crc32(np.array(ids[64 * k : 64 * k + 64], "<u4").tobytes()) for k in range(whole)]
+        assert np.frombuffer(tail, "<u2").tolist() == ids[64 * whole :]
