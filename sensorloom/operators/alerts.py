@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from sensorloom.lineage import cut_lineage
 from sensorloom.operators import series
 
 FOLD_BLOCK_ROWS = 1_000_000
+FOLDED = (
+    ("policy_id", pa.int32()), ("pos", pa.int64()), ("elapsed", pa.float64()), ("kind", pa.string()), ("from_state", pa.string()),
+    ("to_state", pa.string()), ("fault_class", pa.string()), ("rows", pa.int64()), ("valid_rows", pa.int64()), ("alarmed_rows", pa.int64()),
+)
 
 # Search grid and acceptance limits.
 ENTRY_PROBABILITIES = (0.40, 0.50, 0.60, 0.70)
@@ -50,17 +55,29 @@ def argmax_class(classes: Sequence[str], prefix: str = "p_") -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(scores, F.array_max(scores)).cast("int"))
 
 
-def _inputs(pdf: pd.DataFrame, classes, healthy: int, policies, prefix: str):
+def _inputs(scores: np.ndarray, valid: np.ndarray, healthy: int, policies):
     """Inputs of the machine, one number per row, for each policy."""
-    scores = pdf[[prefix + c for c in classes]].to_numpy(dtype=float)
     diagnosis = scores.argmax(axis=1)
     top, calm = scores.max(axis=1), scores[:, healthy]
-    valid = pdf["_valid"].to_numpy(dtype=bool)
     fault = diagnosis != healthy
     for policy in policies:
         yield hy.packed(diagnosis, fault & (top >= policy.entry_probability), calm >= policy.exit_probability, valid)
 
 
+def _flags(column: pa.ChunkedArray) -> np.ndarray:
+    """Booleans of a column; null is false."""
+    return column.fill_null(False).to_numpy()
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.take(np.argsort(table["_pos"].to_numpy(), kind="quicksort"))
+
+
+def _scores(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """One row of probabilities per row; null is NaN."""
+    return np.column_stack([table[n].cast(pa.float64()).to_numpy() for n in names])
+
+
 @lru_cache(maxsize=1_024)
 def _marks(classes: int, healthy: int, policy: hy.Policy) -> tuple[np.ndarray, np.ndarray]:
     """Which states of the machine are not calm, and which (state, input) cause an event."""
@@ -118,7 +135,8 @@ def alert_fold(
     def transfer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         out = []
-        for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
+        scores = pdf[[prefix + c for c in classes]].to_numpy(dtype=float)
+        for index, symbols in enumerate(_inputs(scores, pdf["_valid"].to_numpy(dtype=bool), calm, policies)):
             table = hy.transfer(symbols.tolist(), hy.table_of(len(classes), calm, policies[index]))
             out.append((index, json.dumps({hy.encode(a): hy.encode(b) for a, b in table.items()})))
         head = pdf.iloc[0]
@@ -140,15 +158,14 @@ def alert_fold(
             frame[k] = head[k]
         return frame[[*keys, "_block", "_starts"]]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        head = pdf.iloc[0]
-        given = json.loads(head["_starts"]) if isinstance(head["_starts"], str) else {}
-        positions, times = pdf["_pos"].to_numpy(), pdf["_elapsed"].to_numpy()
-        part, usable = pdf["_part"].to_numpy(dtype=bool), pdf["_valid"].to_numpy(dtype=bool)
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = _in_order(rows)
+        given = json.loads(rows["_starts"][0].as_py() or "{}")
+        positions, times = rows["_pos"].to_numpy(), rows["_elapsed"].to_numpy()
+        part, usable = _flags(rows["_part"]), _flags(rows["_valid"])
         name = _state_names(classes, calm)
         out = []
-        for index, symbols in enumerate(_inputs(pdf, classes, calm, policies, prefix)):
+        for index, symbols in enumerate(_inputs(_scores(rows, [prefix + c for c in classes]), usable, calm, policies)):
             table = hy.table_of(len(classes), calm, policies[index])
             busy, eventful = _marks(len(classes), calm, policies[index])
             visited = np.array(table.run(symbols.tolist(), hy.decode(given.get(str(index)))))
@@ -168,11 +185,9 @@ def alert_fold(
                 last = float(times[part].max())
                 counts = (int(part.sum()), int((part & usable).sum()), int((part & alarmed).sum()))
                 out.append((index, int(positions[0]), last, "segment", None, None, None, *counts))
-        names = ["policy_id", "pos", "elapsed", "kind", "from_state", "to_state", "fault_class", "rows", "valid_rows", "alarmed_rows"]
-        frame = pd.DataFrame(out, columns=names)
-        for k in [*keys, "_block"]:
-            frame[k] = head[k]
-        return frame[[*keys, "_block", *names]]
+        heads = [rows[k].slice(0, 1).combine_chunks().take(np.zeros(len(out), np.int64)) for k in [*keys, "_block"]]
+        made = [pa.array(column, kind, from_pandas=True) for column, (_, kind) in zip(zip(*out) if out else [()] * len(FOLDED), FOLDED)]
+        return pa.Table.from_arrays([*heads, *made], names=[*keys, "_block", *[n for n, _ in FOLDED]])
 
     long = scored.filter(F.col(pos) > block_rows).select(*keys).distinct()
     several = blocked.join(long, keys, "left_semi")
@@ -185,7 +200,7 @@ def alert_fold(
         f"{key_schema}, _block long, policy_id int, pos long, elapsed double, kind string, from_state string, to_state string, "
         "fault_class string, rows long, valid_rows long, alarmed_rows long"
     )
-    return ready.groupBy(*keys, "_block").applyInPandas(fold, schema)
+    return ready.groupBy(*keys, "_block").applyInArrow(fold, schema)
 
 
 def events_of(folded: DataFrame) -> DataFrame:
