@@ -100,7 +100,10 @@ def evidence_schema(observations: DataFrame) -> T.StructType:
 
 
 def evidence_batches(path: str, observations: DataFrame, seconds: float = co.WINDOW_SECONDS, limit: int = co.SAMPLE_LIMIT) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: corroborate investigated transitions and keep one row of evidence for each event."""
+    """Micro-batch handler: corroborate investigated transitions and keep one row of evidence for each event.
+
+    A batch takes the readings of its own assets and time span, read from ``observations`` once.
+    """
     put = tables.keyed_sink(path, "event_id", "observed_at")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -108,7 +111,10 @@ def evidence_batches(path: str, observations: DataFrame, seconds: float = co.WIN
         low, high = batch.agg(F.min("observed_at"), F.max("observed_at")).first()
         if low is not None:
             span = F.col("timestamp").between(F.lit(low - timedelta(seconds=seconds)), F.lit(high))
-            put(co.recommended(batch, observations.filter(span), seconds, limit), batch_id)
+            near = observations.filter(span).join(batch.select("asset_id").distinct(), "asset_id", "left_semi")
+            near = near.select(*observations.columns).persist()  # read for the sizes of its series, to find windows and to fetch rows
+            put(co.recommended(batch, near, seconds, limit), batch_id)
+            near.unpersist()
         batch.unpersist()
 
     return write
