@@ -67,46 +67,49 @@ def decode_events(raw: DataFrame, units: dict[str, str] | None = None, column: s
     """Decode JSON telemetry events; ``reject_reason`` is null for valid ones.
 
     Works on a batch or a stream. The raw value text is inspected so that strings and
-    booleans are not accepted as numbers.
+    booleans are not accepted as numbers. An event is parsed once whatever is done with the result: Spark would repeat the
+    parsing in every filter on the reason, but moves none over a generator (``json_tuple``, ``inline``).
     """
     units = CANONICAL_UNITS if units is None else units
     text = F.col(column).cast("string")
-    field = lambda name: F.get_json_object(text, f"$.{name}")
     variant = F.try_parse_json(text)
-    kind = lambda name: F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
-    is_object = F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
-    out = raw.select("*", *[field(n).alias(f"_{n}") for n in EVENT_FIELDS])
-    stamp = parse_iso(F.col("_timestamp"))
-    number = F.col("_value").try_cast("double")
-    numeric = kind("value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT).*")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("_variant", f"$.{name}", "variant"))
+    parsed = raw.withColumns({"_variant": variant, "_object": F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))})
+    # what is no object may still begin like one
+    rest = F.when(~F.col("_object"), F.struct(*[F.get_json_object(text, f"$.{n}").alias(n) for n in EVENT_FIELDS]))
+    parsed = parsed.withColumn("_rest", rest).select("*", F.json_tuple(text, *EVENT_FIELDS).alias(*[f"_in_{n}" for n in EVENT_FIELDS]))
+    own = {f"_{n}": F.when(F.col("_object"), F.col(f"_in_{n}")).otherwise(F.col("_rest")[n]) for n in EVENT_FIELDS}
+    kinds = {f"_kind_{n}": kind(n) for n in ("asset_id", "timestamp", "value")}
+    out = parsed.withColumns(own | kinds).withColumns({"_stamp": parse_iso(F.col("_timestamp")), "_number": F.col("_value").try_cast("double")})
+    numeric = F.col("_kind_value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT).*")
     expected = F.coalesce(*[F.when(F.col("_measurement_name") == n, u) for n, u in units.items()])
     missing = None
     for name in EVENT_FIELDS:
         test = F.when(F.col(f"_{name}").isNull(), f"missing_{name}")
         missing = test if missing is None else missing.when(F.col(f"_{name}").isNull(), f"missing_{name}")
     reason = F.coalesce(
-        F.when(~is_object, "invalid_json"),
+        F.when(~F.col("_object"), "invalid_json"),
         missing,
         F.when(F.col("_event_version") != "v1", "unsupported_version"),
-        F.when((F.col("_asset_id") == "") | (kind("asset_id") != "STRING"), "invalid_asset_id"),
-        F.when(stamp.isNull() | (kind("timestamp") != "STRING"), "malformed_timestamp"),
+        F.when((F.col("_asset_id") == "") | (F.col("_kind_asset_id") != "STRING"), "invalid_asset_id"),
+        F.when(F.col("_stamp").isNull() | (F.col("_kind_timestamp") != "STRING"), "malformed_timestamp"),
         F.when(expected.isNull(), "unsupported_measurement"),
         F.when(F.col("_unit") != expected, "unit_mismatch"),
-        F.when(~numeric | ~is_finite(number), "non_finite_value"),
+        F.when(~numeric | ~is_finite(F.col("_number")), "non_finite_value"),
     )
-    good = F.col("reject_reason").isNull()
+    good = F.col("_reason").isNull()
     keep = [c for c in raw.columns if c != column]
-    return out.withColumn("reject_reason", reason).select(
-        *keep,
+    result = F.struct(
         F.col("_event_id").alias("event_id"),
         F.col("_asset_id").alias("asset_id"),
-        F.when(good, parse_iso(F.col("_timestamp"))).alias("timestamp"),
+        F.when(good, F.col("_stamp")).alias("timestamp"),
         F.col("_measurement_name").alias("measurement_type"),
-        F.when(good, F.col("_value").try_cast("double")).alias("value"),
+        F.when(good, F.col("_number")).alias("value"),
         F.col("_unit").alias("unit"),
         F.col("_source").alias("source"),
-        "reject_reason",
+        F.col("_reason").alias("reject_reason"),
     )
+    return out.withColumn("_reason", reason).select(*keep, F.inline(F.array(result)))
 
 
 def parse_topic_payload(messages: DataFrame, root: str, now: Column | None = None) -> DataFrame:
