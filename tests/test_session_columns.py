@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sensorloom.functions.hysteresis import Policy
 from sensorloom.functions.linear import LinearScorer, rounded
@@ -146,3 +147,25 @@ def test_scores_are_rounded_as_numbers_are():
     shares = [rng.random() for _ in range(20_000)] + [0.0, 1.0, *[(k + 0.5) * 1e-9 for k in range(5_000)], *[(rng.randint(0, 10**9 - 1) + 0.5) / 1e9 for _ in range(20_000)]]
     for digits in (9, 2, 0, 15):
         assert rounded(np.array(shares), digits).tolist() == [round(x, digits) for x in shares]
+
+
+RESULTS = [("x", 1, "result", "new_alert", None), ("x", 2, "result", None, None), ("y", 1, "quality", None, "late")]
+
+
+def test_three_sinks_hold_no_batch_in_memory_and_a_replayed_batch_leaves_no_copies(spark, tmp_path):
+    def batch(rows):
+        given = spark.createDataFrame(rows, "asset_id string, n long, kind string, event_type string, reason string")
+        columns = [part.split(" ") for part in session.OUTPUT.split(", ")]
+        at = F.timestamp_seconds("n").alias("timestamp")
+        return given.select(*[at if c == "timestamp" else F.col(c) if c in given.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns])
+
+    write, path = session.fan_out(str(tmp_path)), str(tmp_path)
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for number, rows in ((0, RESULTS), (1, RESULTS[2:]), (2, RESULTS[:0]), (0, RESULTS[1:])):
+        write(batch(rows), number)
+    found = {name: spark.read.parquet(f"{path}/{name}") for name in ("results", "transitions", "quality")}
+    assert found["results"].select("asset_id", "kind", "batch_id").collect() == [("x", "result", 0)]
+    assert found["transitions"].count() == 0 and found["quality"].select("asset_id", "reason", "batch_id").sort("batch_id").collect() == [("y", "late", 0), ("y", "late", 1)]
+    write(batch(RESULTS), 3)
+    assert spark.read.parquet(f"{path}/transitions").select("asset_id", "transition_type").collect() == [("x", "confirmed")]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held and not list(tmp_path.glob("staged/*"))
